@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haplospark.llm import _common
 from haplospark.llm.token_counts import token_counts
+from haplospark.llm.token_store import read_store, write_store
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,12 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _common.scratch(spark, "token-store")
+    write_store(_common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
+    return read_store(spark, path)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts}
+    return {"op1_token_store": op1_token_store, "op2_token_counts": op2_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
