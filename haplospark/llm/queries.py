@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from haplospark.llm import _common
+from haplospark.llm.language_id import language_id
 from haplospark.llm.token_counts import token_counts
 from haplospark.llm.token_store import read_store, write_store
 
@@ -28,8 +29,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_token_counts": op2_token_counts}
+    return {"op1_token_store": op1_token_store, "op2_token_counts": op2_token_counts, "op5_language_id": op5_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
