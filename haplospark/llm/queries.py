@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from haplospark.llm import _common
+from haplospark.llm.decontamination import contaminated
 from haplospark.llm.language_id import language_id
 from haplospark.llm.token_counts import token_counts
 from haplospark.llm.token_store import read_store, write_store
@@ -33,8 +34,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_common.table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_token_counts": op2_token_counts, "op5_language_id": op5_language_id}
+    return {"op1_token_store": op1_token_store, "op2_token_counts": op2_token_counts, "op5_language_id": op5_language_id, "op7_decontamination": op7_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
