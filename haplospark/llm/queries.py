@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from haplospark.llm import _common
 from haplospark.llm.decontamination import contaminated
 from haplospark.llm.language_id import language_id
+from haplospark.llm.personal_data import find
 from haplospark.llm.token_counts import token_counts
 from haplospark.llm.token_store import read_store, write_store
 
@@ -38,8 +39,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "benchmark"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(_common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_token_counts": op2_token_counts, "op5_language_id": op5_language_id, "op7_decontamination": op7_decontamination}
+    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op7_decontamination, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
