@@ -10,6 +10,7 @@ from haplospark.llm import _common
 from haplospark.llm.decontamination import contaminated
 from haplospark.llm.language_id import language_id
 from haplospark.llm.personal_data import find
+from haplospark.llm.piece_sampling import encode
 from haplospark.llm.token_counts import token_counts
 from haplospark.llm.token_store import read_store, write_store
 
@@ -43,8 +44,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_common.table(spark, sf_dir, "documents"))
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op7_decontamination, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op7_decontamination, op9_piece_sampling, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
