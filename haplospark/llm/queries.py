@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haplospark.llm import _common
 from haplospark.llm.decontamination import contaminated
+from haplospark.llm.jaccard_join import jaccard_components
 from haplospark.llm.language_id import language_id
 from haplospark.llm.personal_data import find
 from haplospark.llm.piece_sampling import encode
@@ -36,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_common.table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_common.table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +54,7 @@ def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op7_decontamination, op9_piece_sampling, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op6_jaccard_join, op7_decontamination, op9_piece_sampling, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
