@@ -14,6 +14,8 @@ from haplospark.llm.personal_data import find
 from haplospark.llm.piece_sampling import encode
 from haplospark.llm.token_counts import token_counts
 from haplospark.llm.token_store import read_store, write_store
+from haplospark.llm.topk_search import ORACLE as TOP_K_SQL
+from haplospark.llm.topk_search import top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,13 +51,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_common.table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_common.table(spark, sf_dir, "embeddings"))
+
+
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op6_jaccard_join, op7_decontamination, op9_piece_sampling, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op5_language_id, op6_jaccard_join, op7_decontamination, op8_topk_search, op9_piece_sampling, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk_search": TOP_K_SQL}
