@@ -12,6 +12,7 @@ from haplospark.llm.jaccard_join import jaccard_components
 from haplospark.llm.language_id import language_id
 from haplospark.llm.personal_data import find
 from haplospark.llm.piece_sampling import encode
+from haplospark.llm.quality import quality
 from haplospark.llm.secret_scan import scan
 from haplospark.llm.token_counts import token_counts
 from haplospark.llm.token_store import read_store, write_store
@@ -40,6 +41,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_common.table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_common.table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op3_secret_scan, op5_language_id, op6_jaccard_join, op7_decontamination, op8_topk_search, op9_piece_sampling, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op3_secret_scan, op4_quality, op5_language_id, op6_jaccard_join, op7_decontamination, op8_topk_search, op9_piece_sampling, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

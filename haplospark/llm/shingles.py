@@ -36,8 +36,8 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, sorted, text by text; and their number in each text."""
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of each text, text by text; and their number in each text."""
     coded = [(t or "").encode().lower() for t in texts]
     data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
     sizes = np.array([len(c) + 1 for c in coded])
@@ -49,7 +49,12 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * forward[: len(data)], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _STEPS[0])
-    n = np.bincount(np.searchsorted(np.cumsum(sizes), starts, "right"), minlength=len(texts))
+    return words, np.bincount(np.searchsorted(np.cumsum(sizes), starts, "right"), minlength=len(texts))
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, sorted, text by text; and their number in each text."""
+    words, n = word_hashes(texts)
     first = np.cumsum(n) - n
     many = np.where(n >= SIZE, n - SIZE + 1, 0)
     own = np.repeat(np.arange(len(texts)), many)
