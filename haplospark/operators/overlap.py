@@ -17,7 +17,12 @@ def spans(reads: DataFrame) -> DataFrame:
 
 
 def _bins(start: Column, end: Column) -> Column:
-    return F.sequence((start / BIN).cast("int"), (F.greatest(start, end) / BIN).cast("int"))
+    return F.sequence(_bin(start), _bin(F.greatest(start, end)))
+
+
+def _bin(at: Column) -> Column:
+    """Places before the contig are in the first bin."""
+    return (F.greatest(at, F.lit(0)) / BIN).cast("int")
 
 
 def overlapping(reads: DataFrame, regions: DataFrame) -> DataFrame:
@@ -29,10 +34,21 @@ def overlapping(reads: DataFrame, regions: DataFrame) -> DataFrame:
     roi = regions.selectExpr("tid", "start as roi_start", "end as roi_end")
     left = (reads if "span_end" in reads.columns else spans(reads)).withColumn("bin", F.explode(_bins(F.col("span_start"), F.col("span_end"))))
     right = roi.withColumn("bin", F.explode(_bins(F.col("roi_start"), F.col("roi_end"))))
-    first = F.greatest((F.col("span_start") / BIN).cast("int"), (F.col("roi_start") / BIN).cast("int"))
+    first = F.greatest(_bin(F.col("span_start")), _bin(F.col("roi_start")))
     return left.join(right, ["tid", "bin"]).where((F.col("span_start") <= F.col("roi_end")) & (F.col("span_end") >= F.col("roi_start")) & (F.col("bin") == first)).drop("bin")
 
 
+def grouped(reads: DataFrame, regions: DataFrame, reach: int) -> DataFrame:
+    """overlapping, and the reads that a pass in coordinate order gathers beside them: those that begin before the region's end and not
+    before its first mapped overlapping read, if they come within *reach* bases of it. Reads clipped at the site are such."""
+    wide = regions.selectExpr("tid", f"start - {reach} as start", "end")
+    near = overlapping(reads, wide).withColumn("roi_start", F.col("roi_start") + reach)
+    direct = (F.col("span_start") <= F.col("roi_end")) & (F.col("span_end") >= F.col("roi_start"))
+    mapped = F.col("flag").bitwiseAND(4) == 0 if "flag" in near.columns else F.lit(True)
+    first = near.where(direct & mapped).groupBy("tid", "roi_start", "roi_end").agg(F.min("pos").alias("_first"))
+    return near.join(first, ["tid", "roi_start", "roi_end"]).where(direct | ((F.col("pos") >= F.col("_first")) & (F.col("pos") < F.col("roi_end")))).drop("_first")
+
+
 def outside(reads: DataFrame, regions: DataFrame, key: str = "qname") -> DataFrame:
     """The reads that overlap no region, by a key that is theirs alone."""
     return reads.join(overlapping(reads.select(key, "tid", "pos", "cigar"), regions).select(key), key, "left_anti")
@@ -51,16 +67,20 @@ def windows(regions: DataFrame, contigs: DataFrame, k: int = 25) -> DataFrame:
     return joined.withColumn("ref", F.expr(f"substring(seq, ref_start + 1, hi + {k} - ref_start)")).drop("seq")
 
 
-def chained(pairs: DataFrame) -> DataFrame:
+def chained(pairs: DataFrame, reach: int = 0) -> DataFrame:
     """tid, roi_start, roi_end, chain: regions that reads tie together, in order; chain is the first one's start.
 
     pairs(tid, roi_start, roi_end, span_start, span_end).  A region's reads reach from the least start to the
-    greatest end; one that starts after all earlier reads of its contig have ended begins a chain.
+    greatest end; one that starts more than *reach* after all earlier reads of its contig have ended begins a chain.
     """
+    ends = pairs.groupBy("tid", "roi_start", "roi_end").agg(F.max("span_end").alias("far"))
+    return _chained(ends, reach)
+
+
+def _chained(reach: DataFrame, margin: int) -> DataFrame:
     from pyspark.sql import Window
 
-    reach = pairs.groupBy("tid", "roi_start", "roi_end").agg(F.max("span_end").alias("far"))
     order = Window.partitionBy("tid").orderBy("roi_start", "roi_end")
     far = F.max("far").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(far.isNull() | (far < F.col("roi_start")), F.col("roi_start"))
+    opens = F.when(far.isNull() | (far < F.col("roi_start") - margin), F.col("roi_start"))
     return reach.withColumn("opens", opens).select("tid", "roi_start", "roi_end", F.last("opens", ignorenulls=True).over(order).alias("chain"))

@@ -228,10 +228,10 @@ def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings:
     # Regions are a small part of the data and read four times; lost blocks are computed again.
     regions = regions.select("tid", "start", "end").persist()
     keyed = overlap.spans(reads.where("pos is not null and cigar is not null and seq is not null and tid is not null")).withColumn("_row", F.xxhash64(*flat))
-    pairs = overlap.overlapping(keyed, regions)
+    pairs = overlap.grouped(keyed, regions, settings.size)
     few = overlap.capped(pairs, settings.max_reads).where("not skipped").select("tid", "roi_start", "roi_end")
     pairs = pairs.join(few, _REGION)
-    chains = overlap.chained(pairs)
+    chains = overlap.chained(pairs, settings.size)
     sizes = pairs.groupBy(*_REGION).agg(F.count("*").alias("n")).join(chains, _REGION).groupBy("tid", "chain").agg(F.sum("n").alias("total"))
     chains = chains.join(sizes, ["tid", "chain"]).withColumn("alone", F.col("total") > settings.max_chain_reads)
     # In a chain that is too long each region is a group, and a read goes to its first region only.
