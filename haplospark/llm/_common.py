@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_LIBC = getattr(ctypes.CDLL(None), "malloc_trim", None) and ctypes.CDLL(None)
 #: Only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_SCRATCH = "file:/tmp/checkpoints/haplospark"
 
@@ -33,6 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most *rows* rows and about *size* bytes of *column* (one row at least)."""
     for batch in batches:
+        released()
         ends = _ends(batch.column(column))
         lo, n = 0, batch.num_rows
         while lo < n:
@@ -42,6 +45,26 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int, column: str
             lo = hi
 
 
+#: Rows and bytes of the Arrow batches between the JVM and Python; the bytes matter where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """*df*, after its session's Arrow batches were bounded to what the operators here are made for."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def released() -> None:
+    """Gives memory that is free back to the system: idle Python workers stay alive beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def _ends(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -162,7 +162,7 @@ def blocks(benchmark: DataFrame, rate: float, block_chars: int) -> Iterator[Item
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_chars: int = 4 << 20, column: str = "text") -> DataFrame:
     """A row for each document and item of which it holds a passage within the budget of edits."""
-    source = docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
+    source = _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, bloc
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_chars: int = 4 << 20) -> DataFrame:
     """The rows that hold no passage of the benchmark; columns as they are."""
-    out = docs
+    out = _common.bounded(docs)
     for b in blocks(benchmark, rate, block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=docs.sparkSession.sparkContext.broadcast(b)) -> Iterator[pa.RecordBatch]:

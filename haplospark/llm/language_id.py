@@ -114,7 +114,7 @@ def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
                     pred[i] = langs[k]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(assign, "doc_id bigint, lang_pred string, score double")
+    return _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(assign, "doc_id bigint, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -144,4 +144,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, per_language: int = 400
                 good[known] = 1 / np.exp(own - own.max(1, keepdims=True)).sum(1) >= least
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return _common.bounded(docs).mapInArrow(keep, docs.schema)

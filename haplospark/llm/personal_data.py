@@ -279,7 +279,7 @@ def find(docs: DataFrame, column: str = "text") -> DataFrame:
             digests = pa.array([sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, pa.array([written(s) for _, s in found], pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(run, SCHEMA)
+    return _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(run, SCHEMA)
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -309,4 +309,4 @@ def masked(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array([len(b) if a != b else n for a, b, n in zip(texts, new, columns[k].to_pylist())], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _common.bounded(docs).mapInArrow(run, docs.schema)

@@ -238,7 +238,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, sharpness: float = 1.0, co
             ids, counts, good = sample(batch.column("doc_id").to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(_checksums(ids, counts)), pa.array(good), _lists(ids, counts, texts)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(run, SCHEMA)
+    return _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(run, SCHEMA)
 
 
 def _checksums(ids: np.ndarray, counts: np.ndarray) -> list[int]:
@@ -255,7 +255,7 @@ def _lists(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> pa.A
 def with_pieces(docs: DataFrame, path: str, seed: int = 0, sharpness: float = 1.0) -> DataFrame:
     """All rows and columns, with the columns pieces (array<int>) and lossless at the end; earlier ones of these names go."""
     sample = _sampler(path, seed, sharpness)
-    docs = docs.drop("pieces", "lossless")
+    docs = _common.bounded(docs).drop("pieces", "lossless")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.pieces(batches, 2048, 1 << 20):

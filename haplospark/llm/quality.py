@@ -120,7 +120,7 @@ def predict(docs: DataFrame, model: Model, least: float = 0.5, column: str = "te
             top = above[:, -1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(1)), pa.array(top), pa.array(top >= least)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(run, SCHEMA)
+    return _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(run, SCHEMA)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, least: float = 0.5) -> DataFrame:

@@ -78,4 +78,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk_chars: int
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(count, SCHEMA)
+    return _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text").mapInArrow(count, SCHEMA)

@@ -131,7 +131,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mea
             start, position = start + int(n.sum()), position + len(n)
 
     spark = docs.sparkSession
-    source = docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
+    source = _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
     source.mapInArrow(encode, PACK_SCHEMA).repartition("key").mapInArrow(once, PACK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/packs")
     staged = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'r'").selectExpr("doc_id", "n", "payload as digests", "counts")
     staged.repartitionByRange("doc_id", "digests").sortWithinPartitions("doc_id", "digests").mapInArrow(numbered, RECIPE_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/recipes")
