@@ -39,23 +39,23 @@ from haplospark.llm.components import components
 from haplospark.llm.shingles import mix, set_hashes, shingle_sets
 
 LEAST = 75  # per cent
-MOST_MATCHES = 8
+MOST_MATCHES = 2
 #: What the check of a candidate costs, in posting rows.
 CHECK_COST = 50
 STAR_SHINGLES = 8
 #: Shingles of a hash range, and spare bits of their packed hashes: one in 2**12 meets another by chance, which costs work alone.
-RANGE_SHINGLES = 3_000_000
+RANGE_SHINGLES = 1_500_000
 SPARE_BITS = 12
 #: Bits of the filter of documents that are read again: 1 MB at any size; what passes by chance costs work alone.
 FILTER_BITS = 1 << 23
-BLOCK_DOCS, BLOCK_BYTES = 8192, 8 << 20
+BLOCK_DOCS, BLOCK_BYTES = 8192, 4 << 20
 MANY = 0xFFFF
 _SLOT = f"pmod(xxhash64(doc_id), {FILTER_BITS}L)"
 
 _PACKED = "bucket int, block bigint, width int, tokens binary, idx binary"
 _KEYS = "ids array<bigint>, cls array<int>, n array<int>, h1 array<bigint>, h2 array<bigint>"
 _BLOCKS = "block bigint, ids array<bigint>, n array<int>, tokens binary"
-_PREFIX = "token bigint, cid bigint, n int, central int, level int, matches int"
+_PREFIX = "token bigint, cid bigint, n int, central int, level int, matches int, place int"
 
 
 def _names(schema: str) -> list[str]:
@@ -151,6 +151,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
     def once(key: tuple, rows: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return rows.select(["block", *key_names]).add_column(1, "counts", pa.nulls(len(rows), pa.binary()))
+        _common.released()
         _, sizes, idx, order, first = _counted(rows)
         single = order[first[np.diff(first, append=len(order)) == 1]]
         single = np.sort(single[idx[single] != MANY])
@@ -231,6 +232,7 @@ def _prefixes(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*_with_numbers(rows, tokens, bits)), _arrow(_PACKED).types)], _names(_PACKED))
 
     def frequencies(rows: pa.Table) -> pa.Table:
+        _common.released()
         parts, sizes, own, order, first = _counted(rows)
         size = np.diff(first, append=len(order))
         total = np.add.reduceat(own[order].astype(np.int64), first)
@@ -241,6 +243,7 @@ def _prefixes(blocks: DataFrame) -> DataFrame:
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "width": rows.column("width"), "tokens": rows.column("tokens"), "counts": pa.array(counts, pa.binary())})
 
     def prefix(left: pa.Table, right: pa.Table) -> pa.Table:
+        _common.released()
         out = []
         right = right.sort_by("bucket")
         known = np.concatenate([_unpacked(w, t) for w, t in zip(right.column("width").to_pylist(), right.column("tokens").to_pylist())]) if len(right) else np.zeros(0, np.uint64)
@@ -265,16 +268,16 @@ def _prefixes(blocks: DataFrame) -> DataFrame:
             cost[np.arange(1, MOST_MATCHES + 1)[None] > most[:, None]] = np.inf
             matches = cost.argmin(1) + 1
             keep = np.flatnonzero(shared & (level <= matches[own]))
-            out.append((tokens[keep], own[keep], level[keep], r, matches, central))
+            out.append((tokens[keep], own[keep], level[keep], place[keep], r, matches, central))
             # The least hashes of the shared shingles: near copies have most of them in common.
             at = np.flatnonzero(shared)
             by = at[np.lexsort((mix(tokens[at]), own[at]))]
             many = np.bincount(own[by], minlength=len(n))
             by = by[np.arange(len(by)) - np.repeat(np.cumsum(many) - many, many) < STAR_SHINGLES]
-            out.append((tokens[by], own[by], np.zeros(len(by), np.int64), r, matches, central))
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for tokens, own, level, r, matches, central in out:
-            for column, x in zip(columns, (tokens.view(np.int64), np.array(r["ids"], np.int64)[own], np.array(r["n"])[own], central[own], level, matches[own])):
+            out.append((tokens[by], own[by], np.zeros(len(by), np.int64), place[by], r, matches, central))
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for tokens, own, level, place, r, matches, central in out:
+            for column, x in zip(columns, (tokens.view(np.int64), np.array(r["ids"], np.int64)[own], np.array(r["n"])[own], central[own], level, matches[own], place)):
                 column.append(x)
         return pa.table([pa.array(np.concatenate(c).astype(t.to_pandas_dtype()) if c else [], t) for c, t in zip(columns, _arrow(_PREFIX).types)], _names(_PREFIX))
 
@@ -329,13 +332,20 @@ def links(blocks: DataFrame) -> DataFrame:
     found = _common.stored(_verified(to_centre.groupBy("a").agg(F.max_by("b", F.struct("count", F.negate("b"))).alias("b")), blocks), "star-links")
     labels = components(found)
 
-    prefix = rows.where("level > 0").join(labels, F.col("cid") == F.col("id"), "left").selectExpr("token", "cid", "n", "level", "matches", "coalesce(label, cid) as label")
-    across = prefix.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    prefix = prefix.join(across, "token", "left_semi")
-    one, other = (prefix.selectExpr("token", *(f"{c} as {c}_{s}" for c in ("cid", "n", "level", "matches", "label"))) for s in "ab")
+    prefix = rows.where("level > 0").join(labels, F.col("cid") == F.col("id"), "left").selectExpr("token", "cid", "n", "level", "matches", "place", "coalesce(label, cid) as label")
+    # Of a posting only pairs across components are left to find, and one of such a pair is outside the posting's
+    # largest component. Whoever's rest from here on can't reach the overlap even with the smallest set there drops out.
+    posting = prefix.groupBy("token", "label").agg(F.count("*").alias("rows"), F.min("n").alias("low"))
+    posting = posting.groupBy("token").agg(F.max_by("label", F.struct("rows", F.negate("label"))).alias("major"), F.count("*").alias("labels"), F.min("low").alias("low")).where("labels > 1").drop("labels")
+    prefix = prefix.join(posting, "token").where(f"{100 + LEAST} * (n - place + matches - 1) >= {LEAST} * (n + greatest(low, {LEAST} * n / 100))")
+    names = ("cid", "n", "level", "matches", "place", "label")
+    one = prefix.where("label != major").selectExpr("token", *(f"{c} as {c}_a" for c in names))
+    other = prefix.selectExpr("token", *(f"{c} as {c}_b" for c in names), "label = major as inner")
     least = "least(matches_a, matches_b)"
-    pairs = one.join(other, "token").where(f"cid_a < cid_b and label_a != label_b and {_SIZES} and greatest(level_a, level_b) <= {least}")
-    pairs = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "label_a", "label_b").agg(F.count("*").alias("shared"), F.first(F.expr(least)).alias("need"))
+    # Of the first l common shingles each leaves room for the overlap that the sizes ask for, but for those before it.
+    room = f"{100 + LEAST} * (least(n_a - place_a, n_b - place_b) + {least} - 1) >= {LEAST} * (n_a + n_b)"
+    pairs = one.join(other, "token").where(f"label_a != label_b and (inner or cid_a < cid_b) and {_SIZES} and greatest(level_a, level_b) <= {least} and {room}")
+    pairs = pairs.groupBy(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"), F.expr("if(cid_a < cid_b, label_a, label_b)").alias("label_a"), F.expr("if(cid_a < cid_b, label_b, label_a)").alias("label_b")).agg(F.count("*").alias("shared"), F.first(F.expr(least)).alias("need"))
     pairs = _common.stored(pairs.where("shared >= need").select("a", "b", "label_a", "label_b", "shared"), "candidates")
     # The closest candidate of each document in each other component first: what it links needs no other check.
     close = pairs.groupBy("a", "label_b").agg(F.max_by("b", F.struct("shared", F.negate("b"))).alias("b")).select("a", "b")
@@ -351,7 +361,7 @@ def links(blocks: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs(doc_id, column)."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
+    docs = _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
     profiles = _common.stored(_profiles(docs), "profiles")
     labels = links(_live_sets(docs, profiles))
     classes = profiles.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
