@@ -17,11 +17,20 @@ def bounds(pairs: DataFrame) -> DataFrame:
 
     pairs(pos, cigar, lo, hi).  Pairs without such a base go.
     """
-    at = cigar.base_positions(F.col("pos"), F.col("cigar"))
-    inside = F.expr("filter(sequence(0, size(_at) - 1), i -> _at[i] >= lo and _at[i] < hi)")
-    found = pairs.withColumn("_at", at).where("size(_at) > 0").withColumn("_in", inside).where("size(_in) > 0")
-    found = found.withColumns({"i0": F.expr("_in[0]"), "i1": F.expr("_in[size(_in) - 1]")})
-    return found.withColumns({"p0": F.expr("_at[i0]"), "p1": F.expr("_at[i1]")}).drop("_at", "_in")
+    none, zero = F.lit(-1), F.lit(0)
+    empty = F.struct(zero.alias("i"), none.alias("i0"), none.alias("i1"), none.alias("p0"), none.alias("p1"))
+
+    def step(acc: Column, at: Column) -> Column:
+        inside = (at >= F.col("lo")) & (at < F.col("hi"))
+        first = inside & (acc["i0"] < 0)
+        return F.struct(
+            (acc["i"] + 1).alias("i"), F.when(first, acc["i"]).otherwise(acc["i0"]).alias("i0"), F.when(inside, acc["i"]).otherwise(acc["i1"]).alias("i1"),
+            F.when(first, at).otherwise(acc["p0"]).alias("p0"), F.when(inside, at).otherwise(acc["p1"]).alias("p1"),
+        )
+
+    # One pass over the positions in one expression: a column of them that a lambda reads would be made anew for each base.
+    found = pairs.withColumn("_found", F.aggregate(cigar.base_positions(F.col("pos"), F.col("cigar")), empty, step))
+    return found.select(*pairs.columns, *(F.col(f"_found.{c}").alias(c) for c in ("i0", "i1", "p0", "p1"))).where("i0 >= 0")
 
 
 def patched(bounded: DataFrame, k: int = 25) -> DataFrame:
