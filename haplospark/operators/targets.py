@@ -27,7 +27,8 @@ def merged(events: DataFrame, gap: int = GAP) -> DataFrame:
     row for each stretch.
     """
     unit = events.groupBy("tid", "start", "end").agg(F.count("*").alias("n") if "n" not in events.columns else F.sum("n").alias("n"))
-    unit = unit.withColumn("stretch", F.expr(f"start div {STRETCH}"))
+    # Distinct events are few beside the reads, and what follows goes over them three times; lost blocks are computed again.
+    unit = unit.withColumn("stretch", F.expr(f"start div {STRETCH}")).persist()
     ends = unit.groupBy("tid", "stretch").agg(F.max("end").alias("last"))
     before = Window.partitionBy("tid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("tid", "stretch", F.max("last").over(before).alias("carried"))
