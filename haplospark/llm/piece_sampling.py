@@ -84,7 +84,7 @@ class Lattice:
         h = (h + codes + np.uint64(1)) * _GOLDEN
         return h ^ h >> np.uint64(32)
 
-    def filtered(self, units: list[str]):
+    def filtered(self, units: list[str], deepest: int = 1 << 22):
         """The units' lattices as arrays: last node of each unit, and for all edges, ordered by the node they end in, a
         key (node << SHARE_BITS) + cumulated share, the node they start from, and the place and number of their ids."""
         n = np.array([len(u) for u in units])
@@ -122,8 +122,8 @@ class Lattice:
         # From characters to nodes: a unit has one node more than characters.
         shift = own[start]
         depth = end - before[shift]
-        # An edge is known by its end and its length, which is below 64.
-        order = np.argsort((depth << 40) + (end + shift << 6) + end - start) if depth.max(initial=0) < 1 << 22 and len(codes) < 1 << 33 else np.lexsort((start, end, depth))
+        # An edge is known by its end and its length, which is below 64; edges too deep for one number are sorted by three.
+        order = np.argsort((depth << 40) + (end + shift << 6) + end - start) if depth.max(initial=0) < deepest and len(codes) < 1 << 33 else np.lexsort((end - start, end, depth))
         start, end, depth, place, many, weight = (x[order] for x in (start + shift, end + shift, depth, place, many, weight))
         total = np.zeros(len(codes) + len(units))
         share = np.empty(len(start), np.int64)

@@ -150,3 +150,11 @@ def test_samples_follow_the_weights():
     ends = np.cumsum(counts)
     seen = Counter(tuple(ids[e - c : e].tolist()) for c, e in zip(counts, ends))
     assert all(good) and max(abs(seen[k] / n - math.exp(w) / total) for k, w in every) < 0.015
+
+
+def test_deep_lattices_are_those_of_shallow_ones(texts):
+    model, units = lattice(PIECES, 1.0), sorted({u for t in texts for u in _units(t or "")} | {MARK + "there", MARK + "informational\n" * 20})
+    last, key, start, *rest = shallow = model.filtered(units)
+    for a, b in zip(shallow, model.filtered(units, deepest=1)):
+        assert np.array_equal(a, b)
+    assert (np.diff(key) >= 0).all() and len(key) > 2 * len(units)
