@@ -241,9 +241,11 @@ def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings:
     window = overlap.windows(regions.join(few.selectExpr("tid", "roi_start as start", "roi_end as end"), ["tid", "start", "end"], "left_semi"), contigs, settings.size)
     # The unconverted reference around a read, for its distance: it reaches beyond the window on either side.
     kind = bisulfite.conversion(bisulfite.strand(F.col("flag"), F.col("xg"), settings.single_end_forward_is_top))
-    margin = 200
-    wide = members.join(contigs.select("tid", F.col("seq").alias("_contig")), "tid")
-    wide = wide.withColumn("_wide_start", F.greatest(F.lit(0), F.col("span_start") - margin)).withColumn("_wide", F.expr(f"substring(_contig, _wide_start + 1, span_end - _wide_start + {margin})"))
+    # Each of its regions moves an end of a read by that region's window at most; equal rows count once.
+    own = Window.partitionBy("tid", "_row")
+    moves = F.sum(F.expr(f"roi_end - roi_start + {4 * settings.size}")).over(own) / F.count("*").over(Window.partitionBy("tid", "_row", "roi_start", "roi_end"))
+    wide = members.withColumn("_margin", moves.cast("int")).join(contigs.select("tid", F.col("seq").alias("_contig")), "tid")
+    wide = wide.withColumn("_wide_start", F.greatest(F.lit(0), F.col("span_start") - F.col("_margin"))).withColumn("_wide", F.expr("substring(_contig, _wide_start + 1, span_end + _margin + 1 - _wide_start)"))
     wide = wide.withColumn("_kind", kind).select(*reads.columns, "_row", "_kind", "_wide", "_wide_start", "span_start", "span_end", "roi_start", "roi_end", "chain")
 
     whole = reads.columns

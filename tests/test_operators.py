@@ -130,6 +130,19 @@ def test_realign(spark, sample):
     assert capped.where("oc is not null and oc != 'keep'").count() == 0
 
 
+def test_reads_clipped_at_a_long_deletion(spark):
+    r = random.Random(8)
+    seq = "".join(r.choice("AT") for _ in range(1600))
+    contigs = spark.createDataFrame([(0, "c0", seq)], "tid int, name string, seq string")
+    alt = seq[:600] + seq[850:]
+    data = [(f"d{i}", 0, 0, 540 + i, 40, f"{60 - i}M250D{40 + i}M", alt[540 + i : 640 + i], "CT") for i in (0, 2, 4, 6, 8, 40)]
+    data += [("right", 0, 0, 540, 40, "60M40S", alt[540:640], "CT"), ("left", 0, 0, 850, 40, "20S80M", alt[580:680], "CT")]
+    reads = spark.createDataFrame(data, "qname string, flag int, tid int, pos int, mapq int, cigar string, seq string, xg string")
+    by = {x.qname: x for x in realign.realign(reads, targets.discover(reads), contigs).collect()}
+    assert (by["right"].pos, by["right"].cigar, by["right"].oc) == (540, by["d0"].cigar, "60M40S")
+    assert (by["left"].pos, by["left"].cigar, by["left"].op, by["left"].oc) == (580, by["d40"].cigar, 851, "20S80M")
+
+
 def test_realign_without_regions(spark, sample):
     reads, contigs = sample
     assert realign.realign(reads, spark.createDataFrame([], EVENTS), contigs).count() == reads.count()
