@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ class Settings:
     max_reads: int = 1000
     single_end_forward_is_top: bool = False
     stop_at_short: bool = False
-    #: Reads of a chain of regions that are realigned one after another; in a longer chain each region stands alone.
+    #: Without effect: chains of any length are taken in order. Kept for callers that set it.
     max_chain_reads: int = 20_000
 
     @property
@@ -217,7 +218,8 @@ def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings:
     """The reads with new pos and cigar, and op (old position, from 1) and oc (old CIGAR) where they changed; each row once.
 
     Regions that share a read form a chain and are taken in order in one task, a read meeting the next
-    region with its new CIGAR.  Regions of more than max_reads reads are left out before anything is grouped.
+    region with its new CIGAR.  The task streams over pairs sorted by region and holds one region's reads and those
+    that have a later region, so a chain may be of any length.  Regions of more than max_reads reads are left out first.
     Reads outside regions are found by an anti-join on a hash of the row, so equal rows share their fate, and pass unchanged.
     """
     columns = [c for c in reads.columns if c not in ("op", "oc")]
@@ -232,51 +234,60 @@ def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings:
     few = overlap.capped(pairs, settings.max_reads).where("not skipped").select("tid", "roi_start", "roi_end")
     pairs = pairs.join(few, _REGION)
     chains = overlap.chained(pairs, settings.size)
-    sizes = pairs.groupBy(*_REGION).agg(F.count("*").alias("n")).join(chains, _REGION).groupBy("tid", "chain").agg(F.sum("n").alias("total"))
-    chains = chains.join(sizes, ["tid", "chain"]).withColumn("alone", F.col("total") > settings.max_chain_reads)
-    # In a chain that is too long each region is a group, and a read goes to its first region only.
-    chains = chains.withColumn("chain", F.when(F.col("alone"), F.col("roi_start")).otherwise(F.col("chain"))).select(*_REGION, "chain")
-    first = F.min("chain").over(Window.partitionBy("tid", "_row"))
-    members = pairs.join(chains, _REGION).withColumn("_first", first).where("chain = _first")
     window = overlap.windows(regions.join(few.selectExpr("tid", "roi_start as start", "roi_end as end"), ["tid", "start", "end"], "left_semi"), contigs, settings.size)
     # The unconverted reference around a read, for its distance: it reaches beyond the window on either side.
     kind = bisulfite.conversion(bisulfite.strand(F.col("flag"), F.col("xg"), settings.single_end_forward_is_top))
     # Each of its regions moves an end of a read by that region's window at most; equal rows count once.
     own = Window.partitionBy("tid", "_row")
     moves = F.sum(F.expr(f"roi_end - roi_start + {4 * settings.size}")).over(own) / F.count("*").over(Window.partitionBy("tid", "_row", "roi_start", "roi_end"))
-    wide = members.withColumn("_margin", moves.cast("int")).join(contigs.select("tid", F.col("seq").alias("_contig")), "tid")
-    wide = wide.withColumn("_wide_start", F.greatest(F.lit(0), F.col("span_start") - F.col("_margin"))).withColumn("_wide", F.expr("substring(_contig, _wide_start + 1, span_end + _margin + 1 - _wide_start)"))
-    wide = wide.withColumn("_kind", kind).select(*reads.columns, "_row", "_kind", "_wide", "_wide_start", "span_start", "span_end", "roi_start", "roi_end", "chain")
-
+    here = F.struct("roi_start", "roi_end")
+    members = pairs.withColumns({"_margin": moves.cast("int"), "_first": F.min(here).over(own) == here, "_goes_on": F.max(here).over(own) > here})
+    wide = members.join(contigs.select("tid", F.col("seq").alias("_contig")), "tid")
+    # A read keeps it from its first region on.
+    wide = wide.withColumn("_wide_start", F.greatest(F.lit(0), F.col("span_start") - F.col("_margin"))).withColumn("_wide", F.expr("if(_first, substring(_contig, _wide_start + 1, span_end + _margin + 1 - _wide_start), null)"))
+    wide = wide.withColumn("_kind", kind).join(window.select(*_REGION, "ref_start", "ref"), _REGION).join(chains, _REGION)
     whole = reads.columns
-
-    def run(key: tuple, rows: pa.Table, areas: pa.Table) -> pa.Table:
-        names = ("pos", "cigar", "seq", "mapq", "op", "oc", "_kind", "_wide", "_wide_start", "_row", "roi_start")
-        seen: dict[tuple[int, int], int] = {}
-        taken: dict[tuple[int, int], int] = {}
-        held, of_region = [], {}
-        for i, r in enumerate(zip(*(rows.column(c).to_pylist() for c in names))):
-            read = dict(zip(names, r))
-            # Equal rows have one hash: the n-th in a region is the n-th in each.
-            place = read["_row"], seen.setdefault((read["_row"], read["roi_start"]), 0)
-            seen[read["_row"], read["roi_start"]] += 1
-            if place not in taken:
-                taken[place] = len(held)
-                held.append({"index": i, "kind": read["_kind"], "wide": read["_wide"], "wide_start": read["_wide_start"], **{c: read[c] for c in names[:6]}})
-            of_region.setdefault(read["roi_start"], []).append(held[taken[place]])
-        for a in sorted(areas.to_pylist(), key=lambda a: a["roi_start"]):
-            if a["roi_start"] in of_region:
-                Region(a["roi_start"], a["roi_end"], a["ref"], a["ref_start"], settings).realign(of_region[a["roi_start"]])
-        out = rows.select(whole).take(pa.array([h["index"] for h in held], pa.int64()))
-        for name, t in (("pos", pa.int32()), ("cigar", pa.string()), ("op", pa.int32()), ("oc", pa.string())):
-            out = out.set_column(out.schema.get_field_index(name), name, pa.array([h[name] for h in held], t))
-        return out
-
-    # Both sides come from the same tables, so the keys of one get names and ids of their own.
-    areas = window.join(chains, _REGION).selectExpr("tid + 0 as area_tid", "chain + 0 as area_chain", "roi_start", "roi_end", "ref_start", "ref")
-    wide = wide.withColumn("group_tid", F.col("tid") + 0).withColumn("group_chain", F.col("chain") + 0)
-    changed = wide.groupBy("group_tid", "group_chain").cogroup(areas.groupBy("area_tid", "area_chain")).applyInArrow(run, schema)
-    passed = reads.withColumn("_row", F.xxhash64(*flat)).join(members.select("_row").distinct(), "_row", "left_anti").select(*reads.columns)
+    wide = wide.select(*whole, "_row", "_kind", "_wide", "_wide_start", "_goes_on", F.col("tid").alias("_tid"), "roi_start", "roi_end", "ref_start", "ref", "chain")
+    names = ("pos", "cigar", "seq", "mapq", "op", "oc", "_kind", "_wide", "_wide_start", "_row", "_goes_on", "_tid", "roi_start", "roi_end", "ref_start", "ref")
+
+    def finished(area: tuple, members: list[tuple], held: dict) -> Iterator[pa.RecordBatch]:
+        """Realigns one region's reads; those without a later region go out, the others stay in *held*."""
+        Region(*area, settings).realign([read for _, read, _ in members])
+        done = []
+        for place, read, goes_on in members:
+            if not goes_on:
+                held.pop(place, None)
+                done.append(read)
+            elif place not in held:
+                # A copy, for a slice would keep its batch.
+                read["rest"], held[place] = read["rest"].take(pa.array([0])), read
+        if done:
+            out = pa.Table.from_batches([r["rest"] for r in done])
+            for name, t in (("pos", pa.int32()), ("cigar", pa.string()), ("op", pa.int32()), ("oc", pa.string())):
+                out = out.set_column(out.schema.get_field_index(name), name, pa.array([r[name] for r in done], t))
+            yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, area, members, seen = None, (), [], {}
+        held: dict[tuple[int, int, int], dict] = {}
+        for batch in batches:
+            rest = batch.select(whole)
+            for i, r in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+                read = dict(zip(names, r))
+                if (region := (read["_tid"], read["roi_start"], read["roi_end"])) != at:
+                    if members:
+                        yield from finished(area, members, held)
+                    at, area, members, seen = region, (read["roi_start"], read["roi_end"], read["ref"], read["ref_start"]), [], {}
+                # Equal rows have one hash: the n-th in a region is the n-th in each.
+                n = seen[read["_row"]] = seen.get(read["_row"], -1) + 1
+                place = read["_tid"], read["_row"], n
+                own = held.get(place) or {"rest": rest.slice(i, 1), "kind": read["_kind"], "wide": read["_wide"], "wide_start": read["_wide_start"], **{c: read[c] for c in names[:6]}}
+                members.append((place, own, read["_goes_on"]))
+        if members:
+            yield from finished(area, members, held)
+
+    changed = wide.repartition("_tid", "chain").sortWithinPartitions("_tid", "roi_start", "roi_end").mapInArrow(run, schema)
+    passed = reads.withColumn("_row", F.xxhash64(*flat)).join(pairs.select("_row").distinct(), "_row", "left_anti").select(*reads.columns)
     return changed.unionByName(passed.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)))
 
 

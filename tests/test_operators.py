@@ -143,6 +143,34 @@ def test_reads_clipped_at_a_long_deletion(spark):
     assert (by["left"].pos, by["left"].cigar, by["left"].op, by["left"].oc) == (580, by["d40"].cigar, 851, "20S80M")
 
 
+def test_long_chains_keep_all_reads_of_each_region(spark):
+    r = random.Random(9)
+    seq = "".join(r.choice("AT") for _ in range(700))
+    contigs = spark.createDataFrame([(0, "c0", seq)], "tid int, name string, seq string")
+    alt = seq[:300] + "TTATTAT" + seq[300:360] + "ATAATTA" + seq[360:]
+    data = [(f"b{i}", 0, 0, 262 + i, 40, f"{38 - i}M7I60M7I{8 + i}M", alt[262 + i : 382 + i], "CT") for i in range(0, 16, 2)]
+    data += [(f"s{i}", 0, 0, 320 + i, 40, f"{40 - i}M{20 + i}S", alt[327 + i : 387 + i], "CT") for i in range(0, 16, 2)]
+    data += [data[0], ("far", 0, 0, 10, 40, "60M", seq[10:70], "CT")]
+    reads = spark.createDataFrame(data, "qname string, flag int, tid int, pos int, mapq int, cigar string, seq string, xg string")
+    regions = targets.discover(reads).localCheckpoint()
+    assert regions.count() == 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = realign.realign(reads, regions, contigs, realign.Settings(max_chain_reads=1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # The model: both regions in order over all reads that overlap them or begin near.
+    held = [{"kind": "CT", "wide": seq, "wide_start": 0, "op": None, "oc": None, **dict(zip(("qname", "flag", "tid", "pos", "mapq", "cigar", "seq"), d))} for d in data]
+    for x in sorted(regions.collect(), key=lambda x: x.start):
+        lo = max(0, x.start - 50)
+        near = [h for h in held if h["qname"][0] == "b" or (h["qname"][0] == "s" and x.start > 330)]
+        realign.Region(x.start, x.end, seq[lo : x.end + 50], lo, realign.Settings()).realign(near)
+    want = sorted((h["qname"], h["pos"], h["cigar"], h["op"] or 0, h["oc"] or "") for h in held)
+    assert sorted((x.qname, x.pos, x.cigar, x.op or 0, x.oc or "") for x in out) == want
+    assert any(x.qname[0] == "s" and "I" in x.cigar for x in out)
+
+
 def test_realign_without_regions(spark, sample):
     reads, contigs = sample
     assert realign.realign(reads, spark.createDataFrame([], EVENTS), contigs).count() == reads.count()
