@@ -9,15 +9,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LIBC = getattr(ctypes.CDLL(None), "malloc_trim", None) and ctypes.CDLL(None)
-#: Only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Only where spark.checkpoint.dir is unset and all tasks run on this machine, as in tests.
 LOCAL_SCRATCH = "file:/tmp/checkpoints/haplospark"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of the cluster, spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -71,6 +76,33 @@ def _ends(column: pa.Array) -> np.ndarray:
     return np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+#: A key is hot if it has more rows than this and than a HOT_SHARE-th of all, so there are HOT_SHARE hot keys at most.
+HOT_ROWS, HOT_SHARE = 1000, 1000
+
+
+def hot_keys(df: DataFrame, key: str) -> list[int]:
+    """The hot keys among the longs of a column: HOT_SHARE at most, whatever the size of the table."""
+    counts = df.groupBy(key).agg(F.count("*").alias("rows"))
+    least = max(HOT_ROWS, df.count() // HOT_SHARE)
+    return sorted(r[0] for r in counts.where((F.col("rows") > least) & F.col(key).isNotNull()).select(key).collect())
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, hot: list[int], how: str = "inner") -> DataFrame:
+    """many joined with one(key, ...), which has a row for each key: hot keys by a broadcast of HOT_SHARE rows at most, the others by a shuffle."""
+    if not hot:
+        return many.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return many.where(~is_hot).join(one.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how))
+
+
+def free_name(name: str, *taken: list[str]) -> str:
+    """*name*, with as many underscores behind it as it takes to be none of the taken ones, in any case of letters."""
+    used = {x.lower() for names in taken for x in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i] + 1, ... of lengths[i] each, one after another."""
     ends = np.cumsum(lengths)
