@@ -5,13 +5,17 @@ of the last WINDOW ids has its low bits zero (so equal passages give equal chunk
 stand), with a least and a greatest chunk length.  A chunk's address is the 128-bit blake2b of its
 bytes; each distinct chunk is written once.  A document is a recipe, the list of its chunk
 addresses and lengths, with a Merkle leaf over them; recipes lie in ascending doc_id order in
-numbered parts, and a manifest keeps for each part the number of ids and the Merkle root of its
-leaves.  ``read_store`` reads those files only: it checks each chunk against its address, each
-recipe against its leaf and each part against its root, and fails on any difference.
+numbered parts, and a manifest keeps for each part the numbers of documents and ids and the Merkle root of its
+leaves.  One more row, the head, keeps the number of parts, the Merkle root over their roots, the width of an id, the end
+id and a digest of the tokenizer's file.  ``read_store`` reads those files only: it checks each chunk against its address, each
+recipe against its leaf, each part against its root and the parts against the head, and fails on any
+difference: a part, a recipe or a manifest row that is missing or there twice, too.  What reaches the driver is a manifest
+row for each part, of which there are as many as tasks that wrote.
 
 Files below the given path: ``packs`` (kind 'c': chunks; kind 'r': staged recipes), ``recipes``,
-``manifest``.  Chunk rows are shuffled once by address after each task has dropped its own
-repeats, so a chunk of a third of all documents is a row for each task.  Lengths, starts and
+``manifest``, ``head``.  Chunk rows are shuffled once by address after each task has dropped its own
+repeats, so a chunk of a third of all documents is a row for each task; there they are sorted, and of equal neighbours
+one stays.  Lengths, starts and
 checksums come from light rows; chunk bytes never travel a second time.
 
 Null texts are empty texts, and an empty text is one chunk with the end id alone.  Repeated rows
@@ -39,6 +43,8 @@ DIGEST = 16
 #: The reflected polynomial of CRC-32, a fixed value.
 CRC_POLYNOMIAL = 0xEDB88320
 PACK_SCHEMA = "kind string, key binary, doc_id bigint, n bigint, payload binary, counts binary"
+MANIFEST_SCHEMA = "part int, n_docs bigint, n_ids bigint, root binary"
+HEAD_SCHEMA = "n_parts bigint, top binary, width int, end_id bigint, tokenizer binary"
 RECIPE_SCHEMA = "part int, position bigint, doc_id bigint, start_in_part bigint, n bigint, digests binary, counts binary, leaf binary"
 
 
@@ -112,13 +118,12 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mea
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        last = None
         for batch in batches:
             keep = []
             for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist()):
-                keep.append(kind == "r" or key not in seen)
-                if kind == "c":
-                    seen.add(key)
+                keep.append(kind == "r" or key != last)
+                last = key if kind == "c" else last
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +137,36 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mea
 
     spark = docs.sparkSession
     source = _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
-    source.mapInArrow(encode, PACK_SCHEMA).repartition("key").mapInArrow(once, PACK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/packs")
+    source.mapInArrow(encode, PACK_SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(once, PACK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/packs")
     staged = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'r'").selectExpr("doc_id", "n", "payload as digests", "counts")
     staged.repartitionByRange("doc_id", "digests").sortWithinPartitions("doc_id", "digests").mapInArrow(numbered, RECIPE_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    parts = _parts(spark, path)
+    with open(tokenizer, "rb") as f:
+        head = (len(parts), merkle_root([r.root for r in parts]), encoder(tokenizer).dtype.itemsize, end_id, digest(f.read()))
+    spark.createDataFrame([head], HEAD_SCHEMA).coalesce(1).write.parquet(f"{path}/head")
+
+
+def _parts(spark: SparkSession, path: str) -> list:
+    """The rows of the manifest in order of part: one for each task that wrote recipes."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").orderBy("part").collect()
+
+
+def _head(spark: SparkSession, path: str):
+    """The head of a store, after the manifest was held against it."""
+    heads = spark.read.schema(HEAD_SCHEMA).parquet(f"{path}/head").collect()
+    if len(heads) != 1:
+        raise ValueError("a store has one head")
+    parts = _parts(spark, path)
+    if heads[0].n_parts != len(parts) or len({r.part for r in parts}) != len(parts):
+        raise ValueError("the manifest lacks a part, or has one twice")
+    if merkle_root([r.root for r in parts]) != heads[0].top:
+        raise ValueError("the parts' roots differ from the store's root")
+    return heads[0]
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
-    """part, n_ids and Merkle root of each part, a row for each; a part's files are in order of position."""
+    """part, n_docs, n_ids and Merkle root of each part, a row for each."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -148,9 +175,9 @@ def _roots(recipes: DataFrame) -> DataFrame:
                 found.setdefault(part, []).append((position, n, leaf))
         for part, rows in found.items():
             rows.sort()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([sum(x[1] for x in rows)], pa.int64()), "root": pa.array([merkle_root([x[2] for x in rows])], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(rows)], pa.int64()), "n_ids": pa.array([sum(x[1] for x in rows)], pa.int64()), "root": pa.array([merkle_root([x[2] for x in rows])], pa.binary())})
 
-    return recipes.select("part", "position", "n", "leaf").repartition("part").mapInArrow(roots, "part int, n_ids bigint, root binary")
+    return recipes.select("part", "position", "n", "leaf").repartition("part").mapInArrow(roots, MANIFEST_SCHEMA)
 
 
 def crc_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,8 +200,9 @@ def crc_before(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, n_chunks of each document, from the files alone. width: bytes of a stored id."""
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, n_chunks of each document, from the files alone."""
+    width = _head(spark, path).width
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +232,11 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("position"), pa.array(crc.astype(np.int64)), batch.column("n")], ["part", "position", "crc", "n"])
 
     recipes = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes")
-    manifest = spark.read.schema("part int, n_ids bigint, root binary").parquet(f"{path}/manifest")
-    # A row for each part, whose number is that of the tasks that wrote the recipes.
-    again = _roots(recipes).selectExpr("part as p", "n_ids as n_again", "root as root_again")
-    offsets = manifest.join(again, F.col("part") == F.col("p"), "left").selectExpr("part", "if(n_ids = n_again and root = root_again, n_ids, cast(raise_error('a part differs from its Merkle root') as bigint)) as n_ids")
+    manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
+    # A row for each part, whose number is that of the tasks that wrote the recipes. A part that only one side has fails as well.
+    again = _roots(recipes).selectExpr("part as p", "n_docs as d_again", "n_ids as n_again", "root as root_again")
+    same = "coalesce(n_ids = n_again and n_docs = d_again and root = root_again, false)"
+    offsets = manifest.join(again, F.col("part") == F.col("p"), "full_outer").selectExpr("coalesce(part, p) as part", f"if({same}, n_ids, cast(raise_error('a part differs from its Merkle root') as bigint)) as n_ids")
     offsets = offsets.select("part", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("offset"))
     chunks = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'c'").select("key", "payload").mapInArrow(checked, "digest binary, stored bigint, crc bigint")
     parts = recipes.select("part", "position", "digests", "counts", "leaf").mapInArrow(references, "part int, position bigint, digest binary, n bigint, after bigint")
@@ -216,13 +245,14 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     light = recipes.select("part", "position", "doc_id", "start_in_part", F.col("n").alias("n_named"))
     return (
         light.join(sums, ["part", "position"])
-        .join(F.broadcast(offsets), "part")
-        .select("doc_id", (F.col("offset") + F.col("start_in_part")).alias("start"), F.expr("if(n_tokens = n_named, n_tokens, cast(raise_error('a length differs') as bigint))").alias("n_tokens"), "ids_crc32", "n_chunks")
+        .join(F.broadcast(offsets), "part", "left")
+        .select("doc_id", F.expr("if(offset is not null, offset + start_in_part, cast(raise_error('a part lacks its manifest row') as bigint))").alias("start"), F.expr("if(n_tokens = n_named, n_tokens, cast(raise_error('a length differs') as bigint))").alias("n_tokens"), "ids_crc32", "n_chunks")
     )
 
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, ids (binary, little-endian, width bytes each): whole documents put together from their chunks."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ids (binary, little-endian, as wide as the head says): whole documents put together from their chunks."""
+    _head(spark, path)
     recipes = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes")
     chunks = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'c'").selectExpr("key as digest", "payload")
     each = recipes.select("part", "position", "doc_id", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST} - 1), i -> substring(digests, cast(i * {DIGEST} + 1 as int), {DIGEST}))")).alias("k", "digest"))
