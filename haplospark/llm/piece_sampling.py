@@ -8,10 +8,12 @@ vocabulary found in it, and byte pieces for characters that no piece covers.  An
 for the distinct units of a batch at once; backward sampling then draws an edge into each place,
 from the end, with the share it has in that sum.  The draws come from a counter-based generator
 keyed by seed, row key, unit and step, and shares are integers of 24 bits, so a row's
-segmentation depends on nothing but its key, its text and the parameters.
+segmentation depends on nothing but its key, its text and the parameters: weights are summed as
+whole numbers, so that what else is in a batch has no part in any rounding.
 
 Decoding joins the pieces' bytes, turns the model's space mark into a space and drops the first
-one; that mark as a character of a text is written as bytes, so every text comes back.
+one; that mark as a character of a text is written as bytes, so every text comes back.  Within units the mark as a
+character is a lone surrogate, which no text in UTF-8 can hold.
 
 Null texts have null pieces, empty texts none.  Equal keys with equal texts give equal pieces.
 Further columns are ignored by ``encode`` and kept by ``with_pieces``; an empty table gives none.
@@ -32,6 +34,8 @@ from haplospark.llm import _common
 
 MARK = "▁"
 SHARE_BITS = 24
+#: Bits of an edge's weight beside the heaviest one into its node.
+PART_BITS = 30
 SCHEMA = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean, pieces array<int>"
 _MODELS: dict[tuple, "Lattice"] = {}
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -133,9 +137,10 @@ class Lattice:
             first = np.flatnonzero(np.diff(node, prepend=-1))
             size = np.diff(first, append=hi - lo)
             top = np.maximum.reduceat(value, first)
-            part = np.exp(np.round(value - np.repeat(top, size), 9))
+            # Whole numbers: their sums are exact, whatever stands before a node in the batch.
+            part = np.round(np.exp(value - np.repeat(top, size)) * (1 << PART_BITS)).astype(np.int64)
             whole = np.add.reduceat(part, first)
-            total[node[first]] = np.round(top + np.log(whole), 9)
+            total[node[first]] = np.round(top + np.log(whole) - PART_BITS * np.log(2), 9)
             sums = np.cumsum(part)
             inside = sums - np.repeat(sums[first] - part[first], size)
             share[lo:hi] = np.round(inside / np.repeat(whole, size) * (1 << SHARE_BITS) / 16).astype(np.int64) * 16
@@ -181,8 +186,8 @@ class Lattice:
         return self.flat[_common.ragged(self.starts[ids], self.lengths[ids])].tobytes()
 
 
-#: Stands for the mark as a character of a text, within units only; no piece holds this noncharacter.
-_ESCAPED = "￿"
+#: Stands for the mark as a character of a text, within units only: a lone surrogate, so it is no character of any text.
+_ESCAPED = "\ud800"
 
 
 def _units(text: str) -> list[str]:
@@ -253,17 +258,18 @@ def _lists(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> pa.A
 
 
 def with_pieces(docs: DataFrame, path: str, seed: int = 0, sharpness: float = 1.0) -> DataFrame:
-    """All rows and columns, with the columns pieces (array<int>) and lossless at the end; earlier ones of these names go."""
+    """All rows and columns, with the columns pieces (array<int>) and lossless at the end; underscores follow these names where docs has them."""
     sample = _sampler(path, seed, sharpness)
-    docs = _common.bounded(docs).drop("pieces", "lossless")
+    docs = _common.bounded(docs)
+    names = [_common.free_name(x, docs.columns) for x in ("pieces", "lossless")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.pieces(batches, 2048, 1 << 20):
             texts = batch.column("text").to_pylist()
             ids, counts, good = sample(batch.column("doc_id").to_pylist(), texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids, counts, texts), pa.array(good)], [*batch.schema.names, "pieces", "lossless"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids, counts, texts), pa.array(good)], [*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.BooleanType())])
     return docs.mapInArrow(run, schema)
 
 
