@@ -85,6 +85,32 @@ def indels(pos: Column, cigar: Column) -> Column:
     return F.aggregate(operations(cigar), empty, step, closed)
 
 
+def bounds(pos: Column, cigar: Column, lo: Column, hi: Column) -> Column:
+    """struct<i0, i1, p0, p1>: the first and last base at a position from lo to before hi, and their positions; -1 without one.
+
+    A step for each operation, not for each base: inside one, bases and positions go on together, or the position stands.
+    """
+    none, zero = F.lit(-1), F.lit(0)
+    empty = F.struct(pos.alias("at"), zero.alias("base"), none.alias("i0"), none.alias("i1"), none.alias("p0"), none.alias("p1"))
+
+    def step(acc: Column, o: Column) -> Column:
+        at, base, n, op = acc["at"], acc["base"], o["len"], o["op"]
+        moves, stays = on_both(op) & (n > 0), op.isin("I", "S") & (n > 0)
+        first, last = F.when(moves, F.greatest(at, lo)).otherwise(at), F.when(moves, F.least(at + n, hi) - 1).otherwise(at)
+        inside = (moves & (first <= last)) | (stays & (at >= lo) & (at < hi))
+        opens = inside & (acc["i0"] < 0)
+        return F.struct(
+            F.when(on_reference(op), at + n).when(op == "B", at - n).otherwise(at).alias("at"),
+            F.when(on_query(op), base + n).otherwise(base).alias("base"),
+            F.when(opens, base + first - at).otherwise(acc["i0"]).alias("i0"),
+            F.when(inside, F.when(moves, base + last - at).otherwise(base + n - 1)).otherwise(acc["i1"]).alias("i1"),
+            F.when(opens, first).otherwise(acc["p0"]).alias("p0"),
+            F.when(inside, last).otherwise(acc["p1"]).alias("p1"),
+        )
+
+    return F.aggregate(operations(cigar), empty, step)
+
+
 def mismatches(pos: Column, cigar: Column, seq: Column, reference: Column) -> Column:
     """Bases that differ from the upper-case reference, over operations that consume both."""
     empty = F.struct(pos.alias("at"), F.lit(1).alias("base"), F.lit(0).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +18,7 @@ def bounds(pairs: DataFrame) -> DataFrame:
 
     pairs(pos, cigar, lo, hi).  Pairs without such a base go.
     """
-    none, zero = F.lit(-1), F.lit(0)
-    empty = F.struct(zero.alias("i"), none.alias("i0"), none.alias("i1"), none.alias("p0"), none.alias("p1"))
-
-    def step(acc: Column, at: Column) -> Column:
-        inside = (at >= F.col("lo")) & (at < F.col("hi"))
-        first = inside & (acc["i0"] < 0)
-        return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(first, acc["i"]).otherwise(acc["i0"]).alias("i0"), F.when(inside, acc["i"]).otherwise(acc["i1"]).alias("i1"),
-            F.when(first, at).otherwise(acc["p0"]).alias("p0"), F.when(inside, at).otherwise(acc["p1"]).alias("p1"),
-        )
-
-    # One pass over the positions in one expression: a column of them that a lambda reads would be made anew for each base.
-    found = pairs.withColumn("_found", F.aggregate(cigar.base_positions(F.col("pos"), F.col("cigar")), empty, step))
+    found = pairs.withColumn("_found", cigar.bounds(F.col("pos"), F.col("cigar"), F.col("lo"), F.col("hi")))
     return found.select(*pairs.columns, *(F.col(f"_found.{c}").alias(c) for c in ("i0", "i1", "p0", "p1"))).where("i0 >= 0")
 
 
@@ -102,34 +91,41 @@ def sketched(reads: DataFrame, buckets: int = 8192) -> DataFrame:
     return reads.groupBy("tid", "roi_start", "roi_end", "conversion", bucket.alias("bucket")).agg(F.least(F.sum("n"), F.lit(SATURATION)).alias("n"))
 
 
-_MASK = (1 << 64) - 1
+def _turned(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint64(r) | x >> np.uint64(64 - r)
 
 
-def murmur3_low(data: bytes, seed: int = 0xAAAAAAAA) -> int:
-    """The low word of the public-domain MurmurHash3 of 128 bits for 64-bit machines; constants are fixed values."""
-    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
-    turn = lambda x, r: (x << r | x >> 64 - r) & _MASK
-    scatter = lambda x, a, r, b: turn(x * a & _MASK, r) * b & _MASK
+def murmur3_low(texts: list[bytes], seed: int = 0xAAAAAAAA) -> np.ndarray:
+    """The low words of the public-domain MurmurHash3 of 128 bits for 64-bit machines, texts of one length at once; constants are fixed values."""
+    c1, c2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+    out = np.zeros(len(texts), np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
 
-    def finish(x: int) -> int:
-        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & _MASK
-        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & _MASK
-        return x ^ x >> 33
+    def scatter(x: np.ndarray, a: np.uint64, r: int, b: np.uint64) -> np.ndarray:
+        return _turned(x * a, r) * b
 
-    low = high = seed
-    whole = len(data) // 16 * 16
-    for at in range(0, whole, 16):
-        low ^= scatter(int.from_bytes(data[at : at + 8], "little"), c1, 31, c2)
-        low = ((turn(low, 27) + high) * 5 + 0x52DCE729) & _MASK
-        high ^= scatter(int.from_bytes(data[at + 8 : at + 16], "little"), c2, 33, c1)
-        high = ((turn(high, 31) + low) * 5 + 0x38495AB5) & _MASK
-    rest = data[whole:]
-    high ^= scatter(int.from_bytes(rest[8:], "little"), c2, 33, c1)
-    low ^= scatter(int.from_bytes(rest[:8], "little"), c1, 31, c2)
-    low, high = low ^ len(data), high ^ len(data)
-    low = (low + high) & _MASK
-    high = (high + low) & _MASK
-    return (finish(low) + finish(high)) & _MASK
+    def finish(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ x >> np.uint64(33)
+
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        # Whole blocks of two words, and one more of what is left, with zeros behind it.
+        blocks = n // 16 + 1
+        padded = b"".join(texts[i].ljust(16 * blocks, b"\0") for i in at)
+        words = np.frombuffer(padded, "<u8").reshape(len(at), 2 * blocks)
+        low = high = np.full(len(at), seed, np.uint64)
+        for b in range(blocks - 1):
+            low = low ^ scatter(words[:, 2 * b], c1, 31, c2)
+            low = (_turned(low, 27) + high) * np.uint64(5) + np.uint64(0x52DCE729)
+            high = high ^ scatter(words[:, 2 * b + 1], c2, 33, c1)
+            high = (_turned(high, 31) + low) * np.uint64(5) + np.uint64(0x38495AB5)
+        low = low ^ scatter(words[:, -2], c1, 31, c2) ^ np.uint64(n)
+        high = high ^ scatter(words[:, -1], c2, 33, c1) ^ np.uint64(n)
+        low = low + high
+        out[at] = finish(low) + finish(high + low)
+    return out
 
 
 def kmer_hashes(found: DataFrame) -> DataFrame:
@@ -139,8 +135,9 @@ def kmer_hashes(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            values = [None if x is None else murmur3_low(x.encode()) for x in batch.column("kmer").to_pylist()]
-            signed = [None if x is None else x - (x >> 63 << 64) for x in values]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.int64())], [*batch.schema.names, "hash"])
+            column = batch.column("kmer")
+            signed = murmur3_low([(x or "").encode() for x in column.to_pylist()]).view(np.int64)
+            hashes = pa.array(signed, pa.int64(), mask=column.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "hash"])
 
     return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("hash", T.LongType())]))

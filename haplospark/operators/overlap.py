@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplospark.functions import cigar
+from haplospark.operators import targets
 
 BIN = 256
+#: Bases of a tile of a contig, and those of the next tiles that it has as well.
+TILE, BEYOND = 4096, 1024
 
 
 def spans(reads: DataFrame) -> DataFrame:
@@ -29,10 +32,11 @@ def overlapping(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """A row for each read and each region of its contig with span_start <= roi_end and span_end >= roi_start.
 
     Both sides are dealt to bins of BIN bases, so it is an equi-join; a pair that shares several bins
-    is kept in the first only, which needs no distinct.  A hot contig is as many keys as it has bins.
+    is kept in the first only, which needs no distinct.  A hot contig is as many keys as it has bins.  Reads come with the columns of
+    spans; those of the same names that they had are replaced.
     """
     roi = regions.selectExpr("tid", "start as roi_start", "end as roi_end")
-    left = (reads if "span_end" in reads.columns else spans(reads)).withColumn("bin", F.explode(_bins(F.col("span_start"), F.col("span_end"))))
+    left = spans(reads).withColumn("bin", F.explode(_bins(F.col("span_start"), F.col("span_end"))))
     right = roi.withColumn("bin", F.explode(_bins(F.col("roi_start"), F.col("roi_end"))))
     first = F.greatest(_bin(F.col("span_start")), _bin(F.col("roi_start")))
     return left.join(right, ["tid", "bin"]).where((F.col("span_start") <= F.col("roi_end")) & (F.col("span_end") >= F.col("roi_start")) & (F.col("bin") == first)).drop("bin")
@@ -59,12 +63,38 @@ def capped(pairs: DataFrame, most: int = 1000) -> DataFrame:
     return pairs.groupBy("tid", "roi_start", "roi_end").agg(F.count("*").alias("n_reads")).withColumn("skipped", F.col("n_reads") > most)
 
 
+def tiles(contigs: DataFrame) -> DataFrame:
+    """tid, tile, text: contigs(tid, seq) in tiles of TILE bases and BEYOND more. Bases are cut as bytes, whose places need no counting."""
+    n = F.greatest(F.length("seq"), F.lit(1))
+    cut = contigs.select("tid", F.col("seq").cast("binary").alias("seq"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / TILE).cast("int"))).alias("tile"))
+    return cut.select("tid", "tile", F.expr(f"substring(seq, tile * {TILE} + 1, {TILE + BEYOND})").cast("string").alias("text"))
+
+
+def fetched(rows: DataFrame, contigs: DataFrame, start: str, end: str, name: str = "ref") -> DataFrame:
+    """rows(tid, ...) with *name*: their contig's bases from column *start* (0 at least) to before *end*; rows of unknown contigs go.
+
+    A join by contig and tile.  The few places that reach beyond a tile and what it has of the next
+    are put together from several, once for each.
+    """
+    tiled = tiles(contigs)
+    tile, n = F.floor(F.col(start) / TILE).cast("int"), F.greatest(F.col(end) - F.col(start), F.lit(0))
+    placed = rows.withColumns({"tile": tile, "far": F.col(end) > (tile + 1) * TILE + BEYOND})
+    near = placed.where(~F.col("far")).join(tiled, ["tid", "tile"]).withColumn(name, F.substring("text", F.col(start) - F.col("tile") * TILE + 1, n))
+    place = ["tid", start, end]
+    far = placed.where("far").select(*place).distinct()
+    parts = far.withColumn("tile", F.explode(F.sequence(F.floor(F.col(start) / TILE).cast("int"), F.floor((F.col(end) - 1) / TILE).cast("int"))))
+    parts = parts.join(tiled.select("tid", "tile", F.substring("text", 1, TILE).alias("text")), ["tid", "tile"])
+    whole = parts.groupBy(*place).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "text"))), lambda t: t["text"]), "").alias("text"))
+    whole = whole.withColumn(name, F.substring("text", F.col(start) % TILE + 1, n))
+    names = [*rows.columns, name]
+    return near.select(*names).unionByName(placed.where("far").join(whole, place).select(*names))
+
+
 def windows(regions: DataFrame, contigs: DataFrame, k: int = 25) -> DataFrame:
     """tid, roi_start, roi_end, lo and hi (where reads count, hi exclusive), ref_start, ref (2k bases on either side, if there)."""
     roi = regions.selectExpr("tid", "start as roi_start", "end as roi_end")
-    joined = roi.join(contigs.select("tid", "seq"), "tid")
-    joined = joined.withColumns({"lo": F.greatest(F.lit(0), F.col("roi_start") - k), "hi": F.col("roi_end") + k, "ref_start": F.greatest(F.lit(0), F.col("roi_start") - 2 * k)})
-    return joined.withColumn("ref", F.expr(f"substring(seq, ref_start + 1, hi + {k} - ref_start)")).drop("seq")
+    roi = roi.withColumns({"lo": F.greatest(F.lit(0), F.col("roi_start") - k), "hi": F.col("roi_end") + k, "ref_start": F.greatest(F.lit(0), F.col("roi_start") - 2 * k)})
+    return fetched(roi.withColumn("ref_end", F.col("hi") + k), contigs, "ref_start", "ref_end").drop("ref_end")
 
 
 def chained(pairs: DataFrame, reach: int = 0) -> DataFrame:
@@ -73,14 +103,5 @@ def chained(pairs: DataFrame, reach: int = 0) -> DataFrame:
     pairs(tid, roi_start, roi_end, span_start, span_end).  A region's reads reach from the least start to the
     greatest end; one that starts more than *reach* after all earlier reads of its contig have ended begins a chain.
     """
-    ends = pairs.groupBy("tid", "roi_start", "roi_end").agg(F.max("span_end").alias("far"))
-    return _chained(ends, reach)
-
-
-def _chained(reach: DataFrame, margin: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("tid").orderBy("roi_start", "roi_end")
-    far = F.max("far").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(far.isNull() | (far < F.col("roi_start") - margin), F.col("roi_start"))
-    return reach.withColumn("opens", opens).select("tid", "roi_start", "roi_end", F.last("opens", ignorenulls=True).over(order).alias("chain"))
+    ends = pairs.groupBy("tid", "roi_start", "roi_end").agg(F.max("span_end").alias("end"))
+    return targets.islands(ends.withColumn("start", F.col("roi_start")), reach).select("tid", "roi_start", "roi_end", F.col("island").alias("chain"))

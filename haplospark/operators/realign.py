@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from haplospark import storage
 from haplospark.functions import bisulfite, cigar
 from haplospark.operators import alignment, haplotypes, kmers, overlap
 
@@ -85,13 +89,14 @@ def read_scores(reads: DataFrame, paths: DataFrame, k: int) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def score(key: tuple, rows: pa.Table, texts: pa.Table) -> pa.Table:
-        coded = [(i, alignment.codes(p)) for i, p in sorted(zip(texts.column("path_id").to_pylist(), texts.column("path").to_pylist()))]
-        out, known = [], {}
-        for name, piece, likely in zip(*(rows.column(c).to_pylist() for c in ("qname", "piece", "likely"))):
-            if (piece, likely) not in known:
-                read = alignment.codes(piece)
-                known[piece, likely] = [(i, alignment.ungapped(p, read, k, likely)) for i, p in coded]
-            out += [(name, i, *hit) for i, hit in known[piece, likely] if hit]
+        wanted = sorted(set(zip(rows.column("piece").to_pylist(), rows.column("likely").to_pylist())))
+        coded, likely = [alignment.codes(p) for p, _ in wanted], [at for _, at in wanted]
+        known: dict[tuple, list[tuple]] = {w: [] for w in wanted}
+        for i, path in sorted(zip(texts.column("path_id").to_pylist(), texts.column("path").to_pylist())):
+            for w, cost, at in zip(wanted, *(x.tolist() for x in alignment.ungapped(alignment.codes(path), coded, k, likely))):
+                if cost >= 0:
+                    known[w].append((i, cost, at))
+        out = [(name, *hit) for name, *w in zip(*(rows.column(c).to_pylist() for c in ("qname", "piece", "likely"))) for hit in known[tuple(w)]]
         fixed = [pa.array([x.as_py()] * len(out), t) for x, t in zip(key, (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
         return pa.table([*fixed, *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32())))], names)
 
@@ -121,84 +126,106 @@ def assigned(scores: DataFrame, counted: DataFrame) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "n")
 
 
+class _Kept(dict):
+    """Letters as they are converted; any other becomes N."""
+
+    def __missing__(self, _: int) -> str:
+        return "N"
+
+
+_CONVERTED = {"CT": _Kept(str.maketrans("ACGTacgt", "ATGTATGT")), "GA": _Kept(str.maketrans("ACGTacgt", "ACATACAT"))}
+
+
+def converted(text: str, kind: str) -> str:
+    return text.translate(_CONVERTED[kind])
+
+
 class Region:
-    """One region with its reference window: takes reads (mutable rows), assembles and realigns them."""
-
-    def __init__(self, start: int, end: int, ref: str, ref_start: int, settings: Settings):
-        self.start, self.end, self.ref, self.ref_start, self.s = start, end, ref.upper(), ref_start, settings
-        k = settings.size
-        self.lo, self.hi = max(0, start - k), end + k
-        letters = {"CT": str.maketrans("C", "T"), "GA": str.maketrans("G", "A")}
-        keep = {"CT": "ATG", "GA": "ACT"}
-        self.convert = lambda text, kind: "".join(c if c in keep[kind] else "N" for c in text.upper().translate(letters[kind]))
-        self.refs = {kind: self.convert(self.ref, kind) for kind in letters}
-
-    def inside(self, read: dict) -> tuple[int, int, list[int]] | None:
-        at = alignment.positions(read["pos"], read["cigar"])
-        found = [i for i, p in enumerate(at) if self.lo <= p < self.hi and i < len(read["seq"])]
-        return (found[0], found[-1], at) if found else None
-
-    def paths(self, reads: list[dict]) -> dict[str, list[str]] | None:
+    """One region with the text of the reference around it: takes reads (mutable rows), assembles haplotypes and moves reads onto them.
+
+    text begins at text_start and holds the region's window and whatever its reads can reach.
+    """
+
+    def __init__(self, start: int, end: int, text: str, text_start: int, settings: Settings):
+        k, self.s = settings.size, settings
+        self.start, self.end, self.text, self.text_start = start, end, text.upper(), text_start
+        self.lo, self.hi, self.ref_start = max(0, start - k), end + k, max(0, start - 2 * k)
+        ref = self.text[self.ref_start - text_start : self.hi + k - text_start]
+        self.refs = {kind: converted(ref, kind) for kind in _CONVERTED}
+        self.held: list[tuple] = []
+
+    def inside(self, read: dict) -> tuple[int, int, int, int] | None:
+        return alignment.bounds(read["pos"], read["cigar"], len(read["seq"]), self.lo, self.hi)
+
+    def paths(self, found: list[tuple]) -> dict[str, list[str]] | None:
         """The haplotypes of either conversion, or None if there are too many."""
-        k, counts = self.s.size, {"CT": {}, "GA": {}}
+        k, texts = self.s.size, Counter()
         max_ins = max_del = 0
-        for read in reads:
-            if (where := self.inside(read)) is None:
-                continue
-            i0, i1, at = where
-            p0, p1 = at[i0], at[i1]
+        for read, (i0, i1, p0, p1) in found:
             if p0 - self.ref_start + i1 - i0 + 1 <= 2 * k:
                 continue
-            diff = i1 - i0 - (p1 - p0)
-            max_ins, max_del = max(max_ins, diff), max(max_del, -diff)
-            ref, kind = self.refs[read["kind"]], read["kind"]
-            text = ref[: p0 - self.ref_start] + self.convert(read["seq"][i0 : i1 + 1], kind) + ref[p1 - self.ref_start + 1 :]
+            more = i1 - i0 - (p1 - p0)
+            max_ins, max_del = max(max_ins, more), max(max_del, -more)
+            ref = self.refs[read["kind"]]
+            texts[read["kind"], ref[: p0 - self.ref_start] + converted(read["seq"][i0 : i1 + 1], read["kind"]) + ref[p1 - self.ref_start + 1 :]] += 1
+        counts: dict[str, Counter] = {kind: Counter() for kind in self.refs}
+        for (kind, text), times in texts.items():
+            own = counts[kind]
             for i in range(1, len(text) - k):
-                counts[kind][text[i : i + k]] = counts[kind].get(text[i : i + k], 0) + 1
+                own[text[i : i + k]] += times
         limit, out = self.s.path_limit(self.start, self.end), {}
         for kind, ref in self.refs.items():
-            found = {m for m, n in counts[kind].items() if n >= self.s.min_kmer_count} | {ref[i : i + k] for i in range(len(ref) - k + 1)}
-            out[kind] = haplotypes.paths(found, ref, k, kind, self.s.longest(len(ref), max_ins), len(ref) - max_del, limit, self.s.no_cycles, self.s.stop_at_short)
+            known = {m for m, n in counts[kind].items() if n >= self.s.min_kmer_count} | {ref[i : i + k] for i in range(len(ref) - k + 1)}
+            out[kind] = haplotypes.paths(known, ref, k, kind, self.s.longest(len(ref), max_ins), len(ref) - max_del, limit, self.s.no_cycles, self.s.stop_at_short)
             if limit and len(out[kind]) > limit:
                 return None
         return {kind: haplotypes.with_reference(p, self.refs[kind]) for kind, p in out.items()}
 
-    def realign(self, reads: list[dict]) -> None:
-        """Changes pos, cigar, op and oc of the reads that lie better on another haplotype."""
-        k, reads = self.s.size, [r for r in reads if r["mapq"] is not None and r["mapq"] >= self.s.min_mapq]
-        if len(self.ref) < 2 * k + 1 or (found := self.paths(reads)) is None:
-            return
-        coded = {kind: [alignment.codes(p) for p in texts] for kind, texts in found.items()}
-        counts = {kind: [0] * len(texts) for kind, texts in found.items()}
-        held, known = [], {}
-        for read in reads:
-            if (where := self.inside(read)) is None:
-                continue
-            i0, i1, at = where
-            key = read["kind"], read["seq"][i0 : i1 + 1], at[i0] - self.lo + k
-            if key not in known:
-                piece = alignment.codes(self.convert(key[1], key[0]))
-                hits = [(hit[0], i, hit[1]) for i, p in enumerate(coded[key[0]]) if (hit := alignment.ungapped(p, piece, k, key[2]))]
-                least = min(hits)[0] if hits else 0
-                known[key] = [h for h in hits if h[0] == least]
-            if known[key]:
-                held.append((read, i0, i1, known[key]))
-                for _, i, _ in known[key]:
-                    counts[read["kind"]][i] += 1
-        on_ref: dict[tuple[str, int], str] = {}
-        for read, i0, i1, hits in held:
-            kind = read["kind"]
-            _, best, offset = min(hits, key=lambda h: (-counts[kind][h[1]], h[1]))
-            if found[kind][best] == self.refs[kind]:
-                continue
-            if (kind, best) not in on_ref:
-                on_ref[kind, best] = alignment.gapped(coded[kind][best], alignment.codes(self.refs[kind]), k)
-            pos, text = alignment.rewritten(read["pos"], read["cigar"], i0, i1, on_ref[kind, best], offset, offset + i1 - i0, self.ref_start)
-            if (pos, text) == (read["pos"], read["cigar"]):
+    def assign(self, reads: list[dict]) -> list[tuple[str, str]]:
+        """Gives each read its haplotype, and returns the haplotypes other than the reference that reads lie on, each with its reference."""
+        k = self.s.size
+        found = [(r, at) for r in reads if r["mapq"] is not None and r["mapq"] >= self.s.min_mapq and (at := self.inside(r))]
+        if len(self.refs["CT"]) < 2 * k + 1 or (texts := self.paths(found)) is None:
+            return []
+        wanted: dict[tuple, list[tuple]] = {}
+        for read, at in found:
+            wanted.setdefault((read["kind"], read["seq"][at[0] : at[1] + 1], at[2] - self.lo + k), []).append((read, at))
+        votes = {kind: np.zeros(len(p), np.int64) for kind, p in texts.items()}
+        placed = []
+        for kind, paths in texts.items():
+            keys = [key for key in wanted if key[0] == kind]
+            if not keys:
                 continue
-            old, was = self.measured(read, read["pos"], read["cigar"])
-            new, now = self.measured(read, pos, text)
-            if new > old and new - old >= now - was:
+            pieces, likely = [alignment.codes(converted(key[1], kind)) for key in keys], [key[2] for key in keys]
+            hits = [alignment.ungapped(alignment.codes(p), pieces, k, likely) for p in paths]
+            score, offset = (np.stack([h[i] for h in hits]) for i in (0, 1))
+            cost = np.where(score < 0, np.iinfo(np.int64).max, score)
+            best = (cost == cost.min(0)) & (score >= 0)
+            votes[kind] += best @ np.array([len(wanted[key]) for key in keys])
+            placed.append((kind, keys, best, offset))
+        needed: dict[tuple[str, str], None] = {}
+        for kind, keys, best, offset in placed:
+            # Of a read's best paths the one with most votes, then the first.
+            chosen = np.where(best, votes[kind][:, None], -1).argmax(0)
+            for i, key in enumerate(keys):
+                path = texts[kind][chosen[i]]
+                if best[chosen[i], i] and path != self.refs[kind]:
+                    needed[path, self.refs[kind]] = None
+                    self.held += [(read, at, (path, self.refs[kind]), int(offset[chosen[i], i])) for read, at in wanted[key]]
+        return list(needed)
+
+    def move(self, cigars: dict[tuple[str, str], str]) -> None:
+        """Changes pos, cigar, op and oc of the reads that lie no worse on their haplotype, given the haplotypes' CIGARs."""
+        new = []
+        for read, (i0, i1, _, _), path, offset in self.held:
+            pos, text = alignment.rewritten(read["pos"], read["cigar"], i0, i1, cigars[path], offset, offset + i1 - i0, self.ref_start)
+            if (pos, text) != (read["pos"], read["cigar"]):
+                new.append((read, pos, text))
+        seqs, n = [read["seq"] for read, _, _ in new], len(new)
+        old, was = alignment.distances([r["pos"] for r, _, _ in new], [r["cigar"] for r, _, _ in new], seqs, [self.text] * n, [self.text_start] * n)
+        then, now = alignment.distances([pos for _, pos, _ in new], [text for _, _, text in new], seqs, [self.text] * n, [self.text_start] * n)
+        for (read, pos, text), worse in zip(new, (then > old) & (then - old >= now - was)):
+            if worse:
                 continue
             if pos != read["pos"] and read["op"] is None:
                 read["op"] = read["pos"] + 1
@@ -206,89 +233,134 @@ class Region:
                 read["oc"] = read["cigar"]
             read["pos"], read["cigar"] = pos, text
 
-    def measured(self, read: dict, pos: int, text: str) -> tuple[int, int]:
-        return alignment.distance(pos, text, read["seq"], read["wide"], read["wide_start"])
+
+def realign_together(regions: list[tuple[Region, list[dict]]], k: int) -> None:
+    """Realigns the reads of regions that share none; their haplotypes meet the reference in one batch."""
+    needed = dict.fromkeys(pair for region, reads in regions for pair in region.assign(reads))
+    cigars = alignment.gapped([alignment.codes(p) for p, _ in needed], [alignment.codes(r) for _, r in needed], k)
+    for region, _ in regions:
+        region.move(dict(zip(needed, cigars)))
+
+
+#: Regions whose haplotypes are aligned in one batch.
+TOGETHER = 64
+
+
+class _Pass:
+    """The pass of one task over its regions and their reads, in order."""
+
+    def __init__(self, settings: Settings, out: pa.Schema):
+        self.s, self.out = settings, out
+        self.held: dict[tuple, dict] = {}  # reads whose regions may not all have come yet
+        self.open: tuple[Region, list[tuple]] | None = None  # the region whose reads are coming
+        self.waiting: list[tuple[Region, list[dict]]] = []
+        self.busy: set[tuple] = set()
+
+    def close(self) -> None:
+        """The open region is complete. One that shares a read with those that wait comes after them."""
+        if self.open:
+            region, members = self.open
+            if any(key in self.busy for key, _ in members):
+                self.work()
+            self.waiting.append((region, [read for _, read in members]))
+            self.busy.update(key for key, _ in members)
+            self.open = None
+
+    def work(self) -> None:
+        realign_together(self.waiting, self.s.size)
+        self.waiting, self.busy = [], set()
+
+    def done(self, tid: int | None = None, start: int = 0) -> Iterator[pa.RecordBatch]:
+        """The reads that no region of that contig from *start* on can have, after all regions so far."""
+        self.close()
+        self.work()
+        over = {key: r for key, r in self.held.items() if r["tid"] != tid or r["reach"] + self.s.size < start}
+        self.held = {key: r for key, r in self.held.items() if key not in over}
+        by: dict[int, list[dict]] = {}
+        for r in over.values():
+            by.setdefault(id(r["rest"]), []).append(r)
+        for reads in by.values():
+            rest = reads[0]["rest"].take(pa.array([r["at"] for r in reads]))
+            columns = dict(zip(self.out.names, rest.flatten()))
+            columns |= {c: pa.array([r[c] for r in reads], self.out.field(c).type) for c in ("pos", "cigar", "op", "oc")}
+            yield pa.RecordBatch.from_arrays([columns[c].cast(self.out.field(c).type) for c in self.out.names], self.out.names)
+        for r in self.held.values():
+            if len(r["rest"]) > 1:  # a copy, for a slice would keep its batch
+                r["rest"], r["at"] = r["rest"].take(pa.array([r["at"]])), 0
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            rest = batch.column("rest")
+            field = lambda c: rest.field(c).to_pylist()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("tid", "roi_start", "roi_end", "text", "text_start", "kind", "h1", "h2", "reach")), *map(field, ("pos", "cigar", "seq", "mapq", "op", "oc")))
+            for i, (tid, start, end, text, text_start, kind, h1, h2, reach, *own) in enumerate(rows):
+                if text is not None:
+                    self.close()
+                    if len(self.waiting) >= TOGETHER:
+                        yield from self.done(tid, start)
+                    self.open, seen = (Region(start, end, text, text_start, self.s), []), Counter()
+                    continue
+                # Equal rows have one hash: the n-th in a region is the n-th in each.
+                key = tid, h1, h2, seen[h1, h2]
+                seen[h1, h2] += 1
+                if key not in self.held:
+                    self.held[key] = {"rest": rest, "at": i, "tid": tid, "kind": kind, "reach": reach, **dict(zip(("pos", "cigar", "seq", "mapq", "op", "oc"), own))}
+                self.open[1].append((key, self.held[key]))
+        yield from self.done()
 
 
-#: Columns that reads have; others go along unchanged.
-_TYPES = {"pos": T.IntegerType(), "op": T.IntegerType(), "oc": T.StringType()}
+def _row_hashes(reads: DataFrame) -> list[Column]:
+    """Two hashes of 64 bits of a whole row; maps count by their sorted entries."""
+    parts = [F.array_sort(F.map_entries(f"`{c}`")) if t.startswith("map") else F.col(f"`{c}`") for c, t in reads.dtypes]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
 
 
 def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The reads with new pos and cigar, and op (old position, from 1) and oc (old CIGAR) where they changed; each row once.
 
     Regions that share a read form a chain and are taken in order in one task, a read meeting the next
-    region with its new CIGAR.  The task streams over pairs sorted by region and holds one region's reads and those
-    that have a later region, so a chain may be of any length.  Regions of more than max_reads reads are left out first.
-    Reads outside regions are found by an anti-join on a hash of the row, so equal rows share their fate, and pass unchanged.
+    region with its new CIGAR.  The task streams over regions and their reads and holds those reads that later
+    regions may have, so a chain may be of any length.  Regions of more than max_reads reads are left out first.
+    A region brings the reference once, as far as its reads can reach.  Reads outside regions are found by an anti-join on
+    128 bits of hashes of the row, so equal rows share their fate, and pass unchanged.  Columns may have any names.
     """
-    columns = [c for c in reads.columns if c not in ("op", "oc")]
-    has = reads.columns
-    reads = reads.select(*columns, (F.col("op") if "op" in has else F.lit(None)).cast("int").alias("op"), (F.col("oc") if "oc" in has else F.lit(None)).cast("string").alias("oc"))
-    schema = T.StructType([T.StructField(f.name, _TYPES.get(f.name, f.dataType)) for f in reads.schema.fields])
-    flat = [c for c, t in reads.dtypes if not t.startswith("map")]
-    # Regions are a small part of the data and read four times; lost blocks are computed again.
-    regions = regions.select("tid", "start", "end").persist()
-    keyed = overlap.spans(reads.where("pos is not null and cigar is not null and seq is not null and tid is not null")).withColumn("_row", F.xxhash64(*flat))
-    pairs = overlap.grouped(keyed, regions, settings.size)
-    few = overlap.capped(pairs, settings.max_reads).where("not skipped").select("tid", "roi_start", "roi_end")
-    pairs = pairs.join(few, _REGION)
-    chains = overlap.chained(pairs, settings.size)
-    window = overlap.windows(regions.join(few.selectExpr("tid", "roi_start as start", "roi_end as end"), ["tid", "start", "end"], "left_semi"), contigs, settings.size)
-    # The unconverted reference around a read, for its distance: it reaches beyond the window on either side.
+    size, has = settings.size, reads.columns
+    types = {"pos": T.IntegerType(), "cigar": T.StringType(), "op": T.IntegerType(), "oc": T.StringType()}
+    missing = [c for c in ("op", "oc") if c not in has]
+    reads = reads.select(*(F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in has), *(F.lit(None).cast(types[c]).alias(c) for c in missing))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in reads.schema.fields])
+    # A row is one column, so that no name of its columns can meet one of those made here.
     kind = bisulfite.conversion(bisulfite.strand(F.col("flag"), F.col("xg"), settings.single_end_forward_is_top))
+    whole = reads.select(F.struct(*(F.col(f"`{c}`") for c in reads.columns)).alias("rest"), *_row_hashes(reads), "tid", "pos", "cigar", "flag", kind.alias("kind"), F.col("seq").isNotNull().alias("readable"))
+    regions = storage.stored(regions.selectExpr("cast(tid as int) tid", "cast(start as int) start", "cast(end as int) end"), "regions")
+    usable = whole.where("pos is not null and cigar is not null and readable and tid is not null")
+    pairs = overlap.grouped(usable, regions, size).select("rest", "h1", "h2", "kind", "tid", "roi_start", "roi_end", "span_start", "span_end")
+    pairs = storage.stored(pairs, "pairs")
+    few = overlap.capped(pairs, settings.max_reads).where("not skipped").select(*_REGION)
+    narrow = pairs.select("h1", "h2", *_REGION, "span_start", "span_end").join(few, _REGION)
+    chains = overlap.chained(narrow, size)
     # Each of its regions moves an end of a read by that region's window at most; equal rows count once.
-    own = Window.partitionBy("tid", "_row")
-    moves = F.sum(F.expr(f"roi_end - roi_start + {4 * settings.size}")).over(own) / F.count("*").over(Window.partitionBy("tid", "_row", "roi_start", "roi_end"))
-    here = F.struct("roi_start", "roi_end")
-    members = pairs.withColumns({"_margin": moves.cast("int"), "_first": F.min(here).over(own) == here, "_goes_on": F.max(here).over(own) > here})
-    wide = members.join(contigs.select("tid", F.col("seq").alias("_contig")), "tid")
-    # A read keeps it from its first region on.
-    wide = wide.withColumn("_wide_start", F.greatest(F.lit(0), F.col("span_start") - F.col("_margin"))).withColumn("_wide", F.expr("if(_first, substring(_contig, _wide_start + 1, span_end + _margin + 1 - _wide_start), null)"))
-    wide = wide.withColumn("_kind", kind).join(window.select(*_REGION, "ref_start", "ref"), _REGION).join(chains, _REGION)
-    whole = reads.columns
-    wide = wide.select(*whole, "_row", "_kind", "_wide", "_wide_start", "_goes_on", F.col("tid").alias("_tid"), "roi_start", "roi_end", "ref_start", "ref", "chain")
-    names = ("pos", "cigar", "seq", "mapq", "op", "oc", "_kind", "_wide", "_wide_start", "_row", "_goes_on", "_tid", "roi_start", "roi_end", "ref_start", "ref")
-
-    def finished(area: tuple, members: list[tuple], held: dict) -> Iterator[pa.RecordBatch]:
-        """Realigns one region's reads; those without a later region go out, the others stay in *held*."""
-        Region(*area, settings).realign([read for _, read, _ in members])
-        done = []
-        for place, read, goes_on in members:
-            if not goes_on:
-                held.pop(place, None)
-                done.append(read)
-            elif place not in held:
-                # A copy, for a slice would keep its batch.
-                read["rest"], held[place] = read["rest"].take(pa.array([0])), read
-        if done:
-            out = pa.Table.from_batches([r["rest"] for r in done])
-            for name, t in (("pos", pa.int32()), ("cigar", pa.string()), ("op", pa.int32()), ("oc", pa.string())):
-                out = out.set_column(out.schema.get_field_index(name), name, pa.array([r[name] for r in done], t))
-            yield from out.combine_chunks().to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, area, members, seen = None, (), [], {}
-        held: dict[tuple[int, int, int], dict] = {}
-        for batch in batches:
-            rest = batch.select(whole)
-            for i, r in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
-                read = dict(zip(names, r))
-                if (region := (read["_tid"], read["roi_start"], read["roi_end"])) != at:
-                    if members:
-                        yield from finished(area, members, held)
-                    at, area, members, seen = region, (read["roi_start"], read["roi_end"], read["ref"], read["ref_start"]), [], {}
-                # Equal rows have one hash: the n-th in a region is the n-th in each.
-                n = seen[read["_row"]] = seen.get(read["_row"], -1) + 1
-                place = read["_tid"], read["_row"], n
-                own = held.get(place) or {"rest": rest.slice(i, 1), "kind": read["_kind"], "wide": read["_wide"], "wide_start": read["_wide_start"], **{c: read[c] for c in names[:6]}}
-                members.append((place, own, read["_goes_on"]))
-        if members:
-            yield from finished(area, members, held)
-
-    changed = wide.repartition("_tid", "chain").sortWithinPartitions("_tid", "roi_start", "roi_end").mapInArrow(run, schema)
-    passed = reads.withColumn("_row", F.xxhash64(*flat)).join(pairs.select("_row").distinct(), "_row", "left_anti").select(*reads.columns)
-    return changed.unionByName(passed.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)))
+    own, here = Window.partitionBy("tid", "h1", "h2"), Window.partitionBy("tid", "h1", "h2", "roi_start", "roi_end")
+    moves = F.sum(F.expr(f"cast(roi_end - roi_start + {4 * size} as bigint)")).over(own) / F.count("*").over(here)
+    reach = narrow.withColumn("moves", moves.cast("bigint")).groupBy(*_REGION).agg(F.min(F.expr("span_start - moves")).alias("low"), F.max(F.expr("span_end + moves")).alias("high"))
+    areas = reach.join(chains, _REGION).withColumns({
+        "text_start": F.greatest(F.lit(0), F.least(F.col("low"), F.col("roi_start") - 2 * size)).cast("int"),
+        "text_end": F.greatest(F.col("high") + 1, F.col("roi_end") + 2 * size).cast("int"),
+    })
+    areas = storage.stored(areas.drop("low", "high"), "areas")
+    texts = overlap.fetched(areas, contigs, "text_start", "text_end", "text")
+    order = ["tid", "chain", "roi_start", "roi_end"]
+    nothing = {"rest": F.lit(None).cast(pairs.schema["rest"].dataType), "h1": F.lit(None).cast("bigint"), "h2": F.lit(None).cast("bigint"), "kind": F.lit(None).cast("string"), "reach": F.lit(None).cast("int")}
+    heads = texts.select(*order, "text", "text_start", *(v.alias(c) for c, v in nothing.items()))
+    # A region whose contig is not there has no text, so its reads pass as they are.
+    members = pairs.join(texts.select(*order), _REGION)
+    rows = members.select(*order, F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("text_start"), "rest", "h1", "h2", "kind", F.col("span_end").alias("reach"))
+    arrow = to_arrow_schema(schema)
+    stream = heads.unionByName(rows).repartition("tid", "chain").sortWithinPartitions("tid", "chain", "roi_start", "roi_end", F.col("text").isNull())
+    changed = stream.drop("chain").mapInArrow(lambda batches: _Pass(settings, arrow).run(batches), schema)
+    passed = whole.join(members.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").select("rest.*")
+    return changed.unionByName(passed)
 
 
 def coordinate_sorted(reads: DataFrame) -> DataFrame:

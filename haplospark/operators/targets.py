@@ -22,13 +22,20 @@ def merged(events: DataFrame, gap: int = GAP) -> DataFrame:
     """tid, start, end, n: events of a contig whose gaps are *gap* at most become one region.
 
     Equal events are summed first, in the map side of the shuffle, so that what a window sorts are
-    distinct intervals: a hot site is one row, and the order of the window has no ties.  Contigs are
-    cut into stretches of STRETCH bases for the running maxima; ends of earlier stretches come from one
-    row for each stretch.
+    distinct intervals: a hot site is one row, and the order of the window has no ties.
     """
     unit = events.groupBy("tid", "start", "end").agg(F.count("*").alias("n") if "n" not in events.columns else F.sum("n").alias("n"))
-    # Distinct events are few beside the reads, and what follows goes over them three times; lost blocks are computed again.
-    unit = unit.withColumn("stretch", F.expr(f"start div {STRETCH}")).persist()
+    regions = islands(unit, gap)
+    return regions.groupBy("tid", "island").agg(F.max("end").alias("end"), F.sum("n").alias("n")).select("tid", F.col("island").alias("start"), "end", "n")
+
+
+def islands(unit: DataFrame, gap: int) -> DataFrame:
+    """unit(tid, start, end, ...) with island: the start of the first of the intervals that each is tied to by gaps of *gap* at most.
+
+    Contigs are cut into stretches of STRETCH bases for the running maxima; ends of earlier stretches come from one
+    row for each stretch.
+    """
+    unit = unit.withColumn("stretch", F.expr(f"start div {STRETCH}"))
     ends = unit.groupBy("tid", "stretch").agg(F.max("end").alias("last"))
     before = Window.partitionBy("tid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("tid", "stretch", F.max("last").over(before).alias("carried"))
@@ -36,12 +43,11 @@ def merged(events: DataFrame, gap: int = GAP) -> DataFrame:
     reach = F.greatest("carried", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     flagged = unit.join(ends, ["tid", "stretch"]).withColumn("reach", reach)
     flagged = flagged.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("start") - F.col("reach") > gap), F.col("start")))
-    # The region of an event is the last start at or before it that opens one, in this stretch or an earlier one.
+    # The island of an interval is the last start at or before it that opens one, in this stretch or an earlier one.
     opened = flagged.groupBy("tid", "stretch").agg(F.max("opens").alias("last_open"))
     opened = opened.select("tid", "stretch", F.last("last_open", ignorenulls=True).over(before).alias("open_before"))
-    region = F.coalesce(F.last("opens", ignorenulls=True).over(order), F.col("open_before"))
-    regions = flagged.join(opened, ["tid", "stretch"]).withColumn("region", region)
-    return regions.groupBy("tid", "region").agg(F.max("end").alias("end"), F.sum("n").alias("n")).select("tid", F.col("region").alias("start"), "end", "n")
+    island = F.coalesce(F.last("opens", ignorenulls=True).over(order), F.col("open_before"))
+    return flagged.join(opened, ["tid", "stretch"]).withColumn("island", island).drop("stretch", "carried", "reach", "opens", "open_before")
 
 
 STRETCH = 1 << 20

@@ -194,20 +194,21 @@ def path_assign(spark, sf_dir):
     return picked.select("tid", "roi_start", "conversion", "qname", "score", "offset", "path")
 
 
-def _with_contig(spark, sf_dir):
-    return reads(spark, sf_dir).join(contigs(spark, sf_dir).select("tid", F.col("seq").alias("contig")), "tid")
+def _measured(spark, sf_dir, plain=False):
+    """mismatches and covered bases of reads, and with *plain* those of 60M at their places."""
+    rows = overlap.spans(reads(spark, sf_dir)).withColumn("reach", F.greatest(F.col("span_end"), F.col("pos") + 59) + 1)
+    rows = overlap.fetched(rows, contigs(spark, sf_dir), "pos", "reach", "there")
+    rows = alignment.with_distance(rows, "pos", "cigar", "seq", "there", "pos", ("mismatches", "covered"))
+    return alignment.with_distance(rows.withColumn("whole", F.lit("60M")), "pos", "whole", "seq", "there", "pos", ("plain_mismatches", "plain_covered")) if plain else rows
 
 
 def edit_distance(spark, sf_dir):
-    return _with_contig(spark, sf_dir).select("qname", cigar.mismatches(F.col("pos"), F.col("cigar"), F.col("seq"), F.col("contig")).alias("mismatches"), cigar.covered(F.col("cigar")).alias("covered"))
+    return _measured(spark, sf_dir).select("qname", "mismatches", "covered")
 
 
 def accept_rule(spark, sf_dir):
     """Whether each read would keep its CIGAR rather than become 60M at its place."""
-    seq, contig, plain = F.col("seq"), F.col("contig"), F.lit("60M")
-    rows = _with_contig(spark, sf_dir)
-    old, new = cigar.mismatches(F.col("pos"), F.col("cigar"), seq, contig), cigar.mismatches(F.col("pos"), plain, seq, contig)
-    return rows.select("qname", cigar.keeps_old(old, new, cigar.covered(F.col("cigar")), cigar.covered(plain)).alias("kept"))
+    return _measured(spark, sf_dir, True).select("qname", cigar.keeps_old(F.col("mismatches"), F.col("plain_mismatches"), F.col("covered"), F.col("plain_covered")).alias("kept"))
 
 
 def op_oc_tags(spark, sf_dir):
@@ -226,8 +227,8 @@ def gapped_cigar(spark, sf_dir):
 
     def run(batches):
         for b in batches:
-            pairs = zip(b.column("path").to_pylist(), b.column("reference").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([alignment.gapped(alignment.codes(p), alignment.codes(r), SMALL) for p, r in pairs], pa.string())], [*b.schema.names[:4], "cigar"])
+            pairs = b.column("path").to_pylist(), b.column("reference").to_pylist()
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(alignment.gapped(*([alignment.codes(x) for x in column] for column in pairs), SMALL), pa.string())], [*b.schema.names[:4], "cigar"])
 
     ref = overlap.windows(_regions(spark, sf_dir), contigs(spark, sf_dir), SMALL)
     rows = _paths(spark, sf_dir, SMALL_K).join(ref.select("tid", "roi_start", "ref"), ["tid", "roi_start"])

@@ -163,9 +163,8 @@ def test_long_chains_keep_all_reads_of_each_region(spark):
     # The model: both regions in order over all reads that overlap them or begin near.
     held = [{"kind": "CT", "wide": seq, "wide_start": 0, "op": None, "oc": None, **dict(zip(("qname", "flag", "tid", "pos", "mapq", "cigar", "seq"), d))} for d in data]
     for x in sorted(regions.collect(), key=lambda x: x.start):
-        lo = max(0, x.start - 50)
         near = [h for h in held if h["qname"][0] == "b" or (h["qname"][0] == "s" and x.start > 330)]
-        realign.Region(x.start, x.end, seq[lo : x.end + 50], lo, realign.Settings()).realign(near)
+        realign.realign_together([(realign.Region(x.start, x.end, seq, 0, realign.Settings()), near)], 25)
     want = sorted((h["qname"], h["pos"], h["cigar"], h["op"] or 0, h["oc"] or "") for h in held)
     assert sorted((x.qname, x.pos, x.cigar, x.op or 0, x.oc or "") for x in out) == want
     assert any(x.qname[0] == "s" and "I" in x.cigar for x in out)
