@@ -48,6 +48,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class _Places:
+    """Places of 64-bit hashes in a sorted array: their leading bits say where to begin."""
+
+    BITS = 17
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.append(known, np.uint64((1 << 64) - 1))
+        slots = np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)
+        self.begin = np.searchsorted(known, slots).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash the place of the first one that isn't below it, and whether that is the same."""
+        place = self.begin[(h >> np.uint64(64 - self.BITS)).astype(np.int32)]
+        there = self.known[place]
+        below = np.flatnonzero(there < h)
+        while len(below):
+            place[below] += 1
+            there[below] = self.known[place[below]]
+            below = below[there[below] < h[below]]
+        # The greatest hash of all stands for the end of the array; a piece of that hash would not be found.
+        return place, (there == h) & (place < len(self.known) - 1)
+
+
 class Lattice:
     def __init__(self, path: str, sharpness: float):
         from sentencepiece import SentencePieceProcessor
@@ -71,7 +94,7 @@ class Lattice:
         self.byte_weight = -sharpness * np.log1p(n)
         self.single = {p for p in pieces if len(p) == 1}
         # For each length the hashes of the pieces' prefixes, sorted, and the piece that each is, or -1.
-        self.prefixes: list[tuple[np.ndarray, np.ndarray]] = []
+        self.prefixes: list[tuple[_Places, np.ndarray]] = []
         for length in range(1, max(map(len, pieces)) + 1):
             found = {p[:length]: pieces.get(p[:length], -1) for p in pieces if len(p) >= length}
             h = np.zeros(len(found), np.uint64)
@@ -79,7 +102,7 @@ class Lattice:
             for k in range(length):
                 h = self._longer(h, codes[:, k])
             order = np.argsort(h)
-            self.prefixes.append((h[order], np.array([*found.values()])[order]))
+            self.prefixes.append((_Places(h[order]), np.array([*found.values()])[order]))
         lengths = np.array([len(b) for b in self.bytes_of])
         self.flat, self.lengths, self.starts = np.frombuffer(b"".join(self.bytes_of), np.uint8), lengths, np.cumsum(lengths) - lengths
 
@@ -89,8 +112,8 @@ class Lattice:
         return h ^ h >> np.uint64(32)
 
     def filtered(self, units: list[str], deepest: int = 1 << 22):
-        """The units' lattices as arrays: last node of each unit, and for all edges, ordered by the node they end in, a
-        key (node << SHARE_BITS) + cumulated share, the node they start from, and the place and number of their ids."""
+        """The units' lattices as arrays: last node of each unit, the first edge into each node, and for all edges, ordered by the
+        node they end in, the cumulated share, the node they start from, and the place and number of their ids."""
         n = np.array([len(u) for u in units])
         own = np.repeat(np.arange(len(units)), n)
         before = np.cumsum(n) - n  # characters before the unit; its nodes begin at before + unit
@@ -102,8 +125,7 @@ class Lattice:
             keep = left[at] >= length
             at, h = at[keep], h[keep]
             h = self._longer(h, codes[at + length - 1])
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            keep = known[place] == h
+            place, keep = known.find(h)
             at, h, place = at[keep], h[keep], place[keep]
             whole = ids[place] >= 0
             edges.append((at[whole], ids[place[whole]], length))
@@ -146,8 +168,8 @@ class Lattice:
             share[lo:hi] = np.round(inside / np.repeat(whole, size) * (1 << SHARE_BITS) / 16).astype(np.int64) * 16
             share[lo:hi][np.append(first[1:], hi - lo) - 1] = 1 << SHARE_BITS
         by_node = np.argsort((end << 6) - start + end)
-        key = (end[by_node] << SHARE_BITS) + share[by_node]
-        return np.cumsum(n + 1) - 1, key, start[by_node], place[by_node], many[by_node], emitted
+        into = np.bincount(end, minlength=len(total) + 1)
+        return np.cumsum(n + 1) - 1, np.cumsum(into) - into, share[by_node], start[by_node], place[by_node], many[by_node], emitted
 
     def encode(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text by text, and the number for each text."""
@@ -157,7 +179,7 @@ class Lattice:
         units = {u: i for i, u in enumerate(dict.fromkeys(words))}
         if not units:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        last, key, start, place, many, emitted = self.filtered([*units])
+        last, begin, share, start, place, many, emitted = self.filtered([*units])
         unit = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
         ordinal = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = _mix(np.repeat(seeds, counts) + ordinal.astype(np.uint64) * _GOLDEN)
@@ -166,7 +188,12 @@ class Lattice:
         step = 0
         while len(live):
             draw = _mix(seed[live] + np.uint64(step * int(_GOLDEN) & (1 << 64) - 1)) >> np.uint64(64 - SHARE_BITS)
-            edge = np.searchsorted(key, (node << SHARE_BITS) + draw.astype(np.int64), "right")
+            # The first edge into the node whose share is above the draw; the last one's is.
+            draw, edge = draw.astype(np.int64), begin[node]
+            under = np.flatnonzero(share[edge] <= draw)
+            while len(under):
+                edge[under] += 1
+                under = under[share[edge[under]] <= draw[under]]
             chosen.append((live, edge))
             node = start[edge]
             going = node > first[live]
