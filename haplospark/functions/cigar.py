@@ -108,7 +108,7 @@ def bounds(pos: Column, cigar: Column, lo: Column, hi: Column) -> Column:
             F.when(inside, last).otherwise(acc["p1"]).alias("p1"),
         )
 
-    return F.aggregate(operations(cigar), empty, step)
+    return F.aggregate(operations(cigar), empty, step, lambda acc: F.struct(*(acc[c].alias(c) for c in ("i0", "i1", "p0", "p1"))))
 
 
 def mismatches(pos: Column, cigar: Column, seq: Column, reference: Column) -> Column:

@@ -84,6 +84,11 @@ def bed_merged(regions: DataFrame, k: int = 25, shrink: bool = False) -> DataFra
     return merged(regions.select("tid", "start", "end"), 2 * k - 1).select("tid", "start", "end")
 
 
+def in_order(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
+    """The events with ``at``, the place of each in the reads as they are scanned; for reads straight from a file."""
+    return indel_events(reads, min_mapq).withColumn("at", F.monotonically_increasing_id())
+
+
 def merged_in_order(events: DataFrame, gap: int = GAP) -> DataFrame:
     """tid, start, end, n as an online merge in the order of the column ``at`` gives them.
 

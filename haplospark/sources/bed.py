@@ -14,7 +14,15 @@ def read(spark: SparkSession, path: str, contigs: DataFrame, k: int | None = Non
     return targets.bed_merged(found, k, shrink) if k else found
 
 
+def _named(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    return regions.join(contigs.select("tid", "name"), "tid").orderBy("tid", "start", "end").select("name", "start", "end")
+
+
+def lines(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    """The lines of write."""
+    return _named(regions, contigs).selectExpr("concat_ws('\t', name, start, end) as value")
+
+
 def write(regions: DataFrame, contigs: DataFrame, path: str) -> None:
     """name, start, end in order of contig and start."""
-    named = regions.join(contigs.select("tid", "name"), "tid").orderBy("tid", "start", "end")
-    named.select("name", "start", "end").write.mode("overwrite").csv(path, sep="\t")
+    _named(regions, contigs).write.mode("overwrite").csv(path, sep="\t")

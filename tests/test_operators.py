@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from haplospark.functions import bisulfite, cigar, udtf
-from haplospark.operators import kmers, overlap, realign, targets
-from haplospark.sources import bed, fasta, sam
+from haplospark.operators import alignment, kmers, overlap, realign, targets
+from haplospark.sources import bam, bed, bgzf, fasta, sam
 
 EVENTS = "tid int, start int, end int"
 
@@ -61,6 +61,11 @@ def test_bed_merge(spark, gap, n):
     assert targets.bed_merged(df).count() == n and targets.bed_merged(df, shrink=True).count() == n
 
 
+def test_bed_merge_that_shrinks(spark):
+    df = spark.createDataFrame([(0, 5, 300), (0, 20, 30), (0, 90, 95), (1, 0, 9)], EVENTS)
+    assert rows(targets.bed_merged(df)) == [(0, 5, 300), (1, 0, 9)] and rows(targets.bed_merged(df, shrink=True)) == [(0, 5, 30), (0, 90, 95), (1, 0, 9)]
+
+
 def test_no_events(spark):
     assert targets.merged(spark.createDataFrame([], EVENTS)).count() == 0
 
@@ -76,6 +81,40 @@ def test_conversions(spark):
     assert tuple(r) == ("ATGTNNNATGT", "ACATNNNACAT", "01123")
 
 
+def test_bounds_against_positions(spark):
+    r = random.Random(9)
+    data = [(i, r.randint(0, 40), "".join(f"{r.randint(1, 9)}{r.choice('MIDNSHP=XB')}" for _ in range(r.randint(1, 7))), r.randint(0, 50), r.randint(20, 70)) for i in range(400)]
+    got = {x.id: tuple(x.b) for x in spark.createDataFrame(data, "id int, pos int, cigar string, lo int, hi int").select("id", cigar.bounds(F.col("pos"), F.col("cigar"), F.col("lo"), F.col("hi")).alias("b")).collect()}
+    for i, pos, text, lo, hi in data:
+        at = alignment.positions(pos, text)
+        inside = [j for j, p in enumerate(at) if lo <= p < hi]
+        assert got[i] == ((inside[0], inside[-1], at[inside[0]], at[inside[-1]]) if inside else (-1, -1, -1, -1))
+
+
+def test_fetched_text(spark):
+    r = random.Random(10)
+    seqs = ["".join(r.choice("ACGT") for _ in range(n)) for n in (30_000, 10, 4096, 0)]
+    contigs = spark.createDataFrame([*enumerate(seqs)], "tid int, seq string")
+    data = [(i, r.choice([0, 0, 0, 1, 2, 3, 9]), s, s + r.choice([0, 7, 100, 1500, 9000])) for i, s in enumerate(r.choice([r.randint(0, 31_000), 4095, 4096, 0]) for _ in range(200))]
+    df = spark.createDataFrame(data, "id int, tid int, a int, b int")
+    got = {x.id: x.ref for x in overlap.fetched(df, contigs, "a", "b").collect()}
+    for i, tid, a, b in data:
+        want = seqs[tid][a:b] if tid < 4 else None
+        assert got.get(i, "") == (want or ""), (tid, a, b)
+
+
+def test_chains_against_one_pass(spark):
+    r = random.Random(12)
+    data = [(t, s, s + 5, s - 3, s + r.choice([5, 60, 2_000_000 if r.random() < 0.02 else 90])) for t in range(2) for s in sorted(r.sample(range(10, 6_000_000), 150)) for s in (s, s + r.randint(1, 120))]
+    want, far = [], {}
+    for t, a, b, _, e in sorted(set(data)):
+        if t not in far or a - far[t][1] > 7:
+            far[t] = [a, -1]
+        want.append((t, a, b, far[t][0]))
+        far[t][1] = max(far[t][1], e)
+    assert rows(overlap.chained(spark.createDataFrame(data, "tid int, roi_start int, roi_end int, span_start int, span_end int"), 7)) == sorted(set(want))
+
+
 def test_overlap_against_theta_join(spark):
     r = random.Random(5)
     reads = spark.createDataFrame([(f"q{i}", r.randint(0, 1), r.randint(0, 2000), r.choice(["60M", "20S40M", "30M300D30M"])) for i in range(300)], "qname string, tid int, pos int, cigar string")
@@ -189,7 +228,78 @@ def test_files(spark, sample, tmp_path):
     assert rows(fasta.read(spark, str(tmp_path / "x.fa"))) == [("c0", "ACGTAC"), ("c1", "GG")]
 
 
-def test_command_line(spark, sample, tmp_path):
+HEADER = ["@HD\tVN:1.6\tSO:unsorted", "@SQ\tSN:c0\tLN:600\tM5:ab", "@SQ\tSN:c1\tLN:90", "@RG\tID:g\tSM:s", "@PG\tID:p\tCL:a b", "@CO\tany text"]
+RECORDS = [
+    "r1\t99\tc0\t11\t40\t5M1I4M\t=\t51\t50\tACGTNACGTA\tIIIIIIIIII\tXG:Z:CT\tNM:i:-3\tXA:A:q\tXF:f:0.5\tXB:B:s,1,-2\tXH:H:1AFF",
+    "r1\t147\tc0\t51\t40\t10M\t=\t11\t-50\tACGTACGTAC\t*\tOP:i:7\tOC:Z:9M",
+    "r2\t65\tc0\t81\t0\t3S7M\tc1\t5\t0\tacgtACGTAC\t*\tXU:i:4000000000",
+    "r3\t4\t*\t0\t0\t*\t*\t0\t0\tAC\t#I",
+    "r4\t0\tc1\t90\t255\t1M\t*\t0\t0\t*\t*",
+]
+
+
+def test_sam_records_come_back_whole(spark, tmp_path):
+    (tmp_path / "in.sam").write_text("\n".join([*HEADER, *RECORDS, ""]) + "\n")
+    contigs, reads = sam.read_contigs(spark, str(tmp_path / "in.sam")), sam.read(spark, str(tmp_path / "in.sam"))
+    assert sam.read_header(spark, str(tmp_path / "in.sam")) == HEADER and rows(contigs) == [(0, "c0", 600), (1, "c1", 90)]
+    sam.write(reads, contigs, str(tmp_path / "out"), HEADER)
+    back = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    fields = lambda line: (line.split("\t")[:11], sorted(line.split("\t")[11:]))
+    assert sorted(x for x in back if x[0] == "@") == sorted(HEADER) and sorted(fields(x) for x in back if x[0] != "@") == sorted(map(fields, RECORDS))
+    assert sam.sorted_header(HEADER)[0] == "@HD\tVN:1.6\tSO:coordinate" and sam.sorted_header([])[0] == "@HD\tVN:1.6\tSO:coordinate"
+    (tmp_path / "odd.sam").write_text("\n".join([*HEADER, RECORDS[4] + "\tNM:i:1\tNM:i:2"]))
+    assert sam.read(spark, str(tmp_path / "odd.sam")).first().tags == {"NM": "i:1"}
+    (tmp_path / "short.sam").write_text("\n".join([*HEADER, "r\t0\tc0"]))
+    with pytest.raises(Exception, match="fewer than 11 fields"):
+        sam.read(spark, str(tmp_path / "short.sam")).collect()
+
+
+def test_bam_records_come_back_whole(spark, tmp_path):
+    (tmp_path / "in.sam").write_text("\n".join([*HEADER, *RECORDS, ""]))
+    reads = sam.read(spark, str(tmp_path / "in.sam"))
+    bam.write(reads, str(tmp_path / "out"), HEADER, index=True)
+    assert bam.read_header(str(tmp_path / "out"))[0] == HEADER and rows(bam.read_contigs(spark, str(tmp_path / "out"))) == [(0, "c0", 600), (1, "c1", 90)]
+    plain = lambda df: sorted((r.asDict(recursive=True) for r in df.withColumn("seq", F.upper("seq")).collect()), key=str)
+    assert plain(bam.read(spark, str(tmp_path / "out"))) == plain(reads)
+    bam.merged(str(tmp_path / "out"), str(tmp_path / "one.bam"), index=True)
+    assert plain(bam.read(spark, str(tmp_path / "one.bam"))) == plain(reads)
+    bam.write(reads.limit(0), str(tmp_path / "none"), HEADER)
+    assert bam.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_bam_splits_meet_between_records(spark, tmp_path):
+    r = random.Random(3)
+    made = [(f"q{i}", 0, r.choice([0, 1, None]), r.randint(0, 5000), 60, "100M" if i % 50 else f"{20_000 + i}S100M", "".join(r.choice("ACGTN") for _ in range(100 if i % 50 else 20_100 + i)), None, None, None, None) for i in range(3000)]
+    reads = spark.createDataFrame(made, "qname string, flag int, tid int, pos int, mapq int, cigar string, seq string, qual string, xg string, op int, oc string").withColumn("tags", F.create_map(F.lit("XQ"), F.concat(F.lit("Z:"), F.sha2("qname", 512))))
+    bam.write(reads.coalesce(1), str(tmp_path / "out"), ["@SQ\tSN:a\tLN:9000", "@SQ\tSN:b\tLN:9000"], index=True)
+    bam.merged(str(tmp_path / "out"), str(tmp_path / "one.bam"), index=True)
+    whole = sorted(zip(*(c for c in zip(*((x[0], x[5], x[6]) for x in made)))))
+    for split in (70_000, 200_000, 1 << 30):
+        df = bam.read(spark, str(tmp_path / "one.bam"), split)
+        assert rows(df.select("qname", "cigar", "seq")) == whole
+    assert df.rdd.getNumPartitions() == 1 and bam.read(spark, str(tmp_path / "one.bam"), 70_000).rdd.getNumPartitions() > 5
+    # The index of the whole leads to each record.
+    index = bam.Index.unpacked((tmp_path / "one.bam.bai").read_bytes())
+    with bgzf.opened(str(tmp_path / "one.bam")) as f:
+        for tid, start in ((0, 0), (1, 4096), (0, 2500)):
+            first = min(v for w, v in index.windows[tid].items() if w >= start >> 14)
+            data = bgzf.Bytes(f, first >> 16, first & 0xFFFF)
+            got = bam.decoded(data.take(int.from_bytes(data.take(4), "little")))
+            assert got[2] == tid
+
+
+def test_damaged_blocks_are_found(tmp_path):
+    good = bgzf.block(b"some bytes " * 900) + bgzf.END
+    (tmp_path / "x").write_bytes(good)
+    with bgzf.opened(str(tmp_path / "x")) as f:
+        assert b"".join(d for _, _, d in bgzf.blocks(f, 0)) == b"some bytes " * 900
+    for bad, why in ((good[:40], "cut short"), (good[:-36] + b"\1" + good[-35:], "damaged"), (b"x" * 70_000, "no block")):
+        (tmp_path / "x").write_bytes(bad)
+        with bgzf.opened(str(tmp_path / "x")) as f, pytest.raises(ValueError, match=why):
+            list(bgzf.blocks(f, 0))
+
+
+def test_command_line(spark, sample, tmp_path, capsys):
     from haplospark.__main__ import main
 
     reads, contigs = sample
@@ -197,7 +307,16 @@ def test_command_line(spark, sample, tmp_path):
     (tmp_path / "ref.fa").write_text(f">c0\n{contigs.first().seq}\n")
     main(["targets", str(tmp_path / "in"), str(tmp_path / "bed")])
     main(["realign", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ref.fa"), "-l", str(tmp_path / "bed")])
-    assert sam.read(spark, str(tmp_path / "out")).where("oc is not null").count() > 1
+    got = sam.read(spark, str(tmp_path / "out"))
+    assert got.where("oc is not null").count() > 1 and got.count() == reads.count()
+    main(["realign", str(tmp_path / "in"), str(tmp_path / "out.bam"), str(tmp_path / "ref.fa"), "--index", "--quiet", "--quiet"])
+    assert rows(bam.read(spark, str(tmp_path / "out.bam")).drop("tags").fillna("")) == rows(got.drop("tags").fillna(""))
+    assert bam.Index.unpacked((tmp_path / "out.bam.bai").read_bytes()).bins[0]
+    main(["targets", str(tmp_path / "out.bam"), "-"])
+    assert capsys.readouterr().out.startswith("c0\t")
+    for flag in ("-C", "--nope"):
+        with pytest.raises(SystemExit):
+            main(["realign", str(tmp_path / "in"), str(tmp_path / "x"), str(tmp_path / "ref.fa"), flag])
 
 
 def test_stream(spark, sample, tmp_path):
