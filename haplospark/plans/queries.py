@@ -87,6 +87,18 @@ def roi_group_cap(spark, sf_dir):
     return overlap.capped(overlap.overlapping(reads(spark, sf_dir), _regions(spark, sf_dir)), 50)
 
 
+def roi_group_members(spark, sf_dir):
+    """The reads that a pass in coordinate order gathers for each region: those that overlap it, and those clipped beside it."""
+    return overlap.grouped(reads(spark, sf_dir), _regions(spark, sf_dir), K).select("qname", "tid", "pos", "roi_start", "roi_end")
+
+
+def chain_reads(spark, sf_dir):
+    """Reads that a region passes on to the next ones of its chain, with the number of its regions."""
+    pairs = overlap.grouped(reads(spark, sf_dir, 40), _regions(spark, sf_dir, 40), K)
+    chains = overlap.chained(pairs, K)
+    return pairs.join(chains, ["tid", "roi_start", "roi_end"]).groupBy("tid", "chain", "qname", "pos").agg(F.count("*").alias("n_regions")).where("n_regions > 1")
+
+
 def reads_outside(spark, sf_dir):
     return overlap.outside(reads(spark, sf_dir), _regions(spark, sf_dir)).select("qname", "tid", "pos")
 
@@ -171,6 +183,12 @@ def breadth_cap(spark, sf_dir):
     return other.groupBy("tid", "roi_start", "conversion").agg(F.count("*").alias("n_other")).withColumn("skipped", F.col("n_other") > 1)
 
 
+def breadth_skipped(spark, sf_dir):
+    """Whether a region has more paths of a conversion than its bound, here 1 and twice its width less two."""
+    found = _paths(spark, sf_dir, realign.Settings(k=SMALL, breadth=1))
+    return found.groupBy("tid", "roi_start", "roi_end", "conversion").agg(F.max("too_many").alias("too_many"))
+
+
 def noncycle_paths(spark, sf_dir):
     return _paths(spark, sf_dir, realign.Settings(k=SMALL, no_cycles=True))
 
@@ -253,9 +271,9 @@ def realign_chains(spark, sf_dir):
 
 _ALL = (
     reads_scan, contigs_scan, cigar_ops, base_positions, read_span, indel_events, roi_islands, roi_depth, bed_merge, strand_class,
-    ct_convert, ga_convert, reduced_alphabet, roi_overlap, roi_group_cap, reads_outside, ref_window, roi_chains, read_window_bounds,
+    ct_convert, ga_convert, reduced_alphabet, roi_overlap, roi_group_members, chain_reads, roi_group_cap, reads_outside, ref_window, roi_chains, read_window_bounds,
     patched_read, kmer_counts, kmer_sketch_md5, kmer_murmur, sketch_layout, kmer_sufficient, max_indel, kmer_edges, haplotype_paths,
-    haplotype_paths_25, ref_path_union, breadth_cap, noncycle_paths, ungapped_best, path_votes, path_assign, edit_distance,
+    haplotype_paths_25, ref_path_union, breadth_cap, breadth_skipped, noncycle_paths, ungapped_best, path_votes, path_assign, edit_distance,
     accept_rule, op_oc_tags, coordinate_sort, gapped_cigar, targets_in_order, realign_full, realign_chains,
 )
 
@@ -289,6 +307,11 @@ def oracle_sql() -> dict[str, str]:
         "ga_convert": f"WITH {plain} SELECT qname, {sql.ga('seq')} AS converted FROM reads",
         "reduced_alphabet": f"WITH {plain} SELECT qname, translate({sql.ct('seq')}, 'AGTN', '0123') AS reduced FROM reads",
         "roi_overlap": f"WITH {roi}, {sql.PAIRS} SELECT qname, tid, pos, roi_start, roi_end FROM pairs",
+        "roi_group_members": f"WITH {roi}, {sql.SPANS}, {sql.members(K)} SELECT qname, tid, pos, roi_start, roi_end FROM members",
+        "chain_reads": f"""WITH {sql.regions(40)}, {sql.SPANS}, {sql.members(K)}, far AS (SELECT tid, roi_start, roi_end, max(span_end) AS far FROM members GROUP BY ALL
+          ), flags AS (SELECT *, CASE WHEN roi_start - max(far) OVER (PARTITION BY tid ORDER BY roi_start, roi_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {K} THEN NULL ELSE roi_start END AS opens FROM far
+          ), chains AS (SELECT tid, roi_start, roi_end, max(opens) OVER (PARTITION BY tid ORDER BY roi_start, roi_end ROWS UNBOUNDED PRECEDING) AS chain FROM flags)
+          SELECT m.tid, chain, qname, pos, count(*) AS n_regions FROM members m JOIN chains c ON m.tid = c.tid AND m.roi_start = c.roi_start GROUP BY ALL HAVING count(*) > 1""",
         "roi_group_cap": f"WITH {roi}, {sql.PAIRS} SELECT tid, roi_start, roi_end, count(*) AS n_reads, count(*) > 50 AS skipped FROM pairs GROUP BY ALL",
         "reads_outside": f"WITH {roi}, {sql.PAIRS} SELECT qname, tid, pos FROM reads WHERE qname NOT IN (SELECT qname FROM pairs)",
         "ref_window": f"WITH {roi}, {sql.windows(K)} SELECT tid, roi_start, roi_end, lo, hi, ref_start, ref FROM win",
@@ -301,10 +324,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT *, CAST(2 ** ceil(log2(cells)) AS BIGINT) AS buckets FROM d""",
         "kmer_sufficient": f"WITH {sql.sufficient(K)} SELECT * FROM suff",
         "max_indel": f"WITH {sql.patched(K)}, {sql.INDEL} SELECT * FROM indel",
-        "kmer_edges": f"WITH {sql.sufficient(K)} SELECT a.tid, a.roi_start, a.roi_end, a.conversion, a.kmer AS source, b.kmer AS target FROM suff a JOIN suff b ON a.tid = b.tid AND a.roi_start = b.roi_start AND a.conversion = b.conversion AND substr(a.kmer, 2) = left(b.kmer, {K - 1})",
+        "kmer_edges": f"""WITH {sql.sufficient(K)}, one AS (SELECT tid, roi_start, roi_end, conversion, kmer AS source, substr(kmer, 2) AS shared FROM suff
+          ), two AS (SELECT tid AS t, roi_start AS s, conversion AS c, kmer AS target, left(kmer, {K - 1}) AS shared FROM suff)
+          SELECT tid, roi_start, roi_end, conversion, source, target FROM one JOIN two ON one.shared = two.shared AND tid = t AND roi_start = s AND conversion = c""",
         "haplotype_paths": f"WITH RECURSIVE {sql.walks(SMALL)} SELECT tid, roi_start, roi_end, conversion, path FROM haps",
         "ref_path_union": f"WITH RECURSIVE {sql.walks(SMALL)} SELECT tid, roi_start, conversion, count(*) AS n_paths, CAST(count(*) - 1 AS INTEGER) AS last_id FROM haps GROUP BY ALL",
         "breadth_cap": f"WITH RECURSIVE {sql.walks(SMALL)} SELECT h.tid, h.roi_start, h.conversion, count(*) AS n_other, count(*) > 1 AS skipped FROM haps h JOIN refs r ON h.tid = r.tid AND h.roi_start = r.roi_start AND h.conversion = r.conversion AND h.path <> r.text GROUP BY ALL",
+        "breadth_skipped": f"""WITH RECURSIVE {sql.walks(SMALL)} SELECT e.tid, e.roi_start, e.roi_end, e.conversion, count(w.path) > 1 + 2 * (e.roi_end - e.roi_start - 1) AS too_many
+          FROM ends e LEFT JOIN walked w ON w.tid = e.tid AND w.roi_start = e.roi_start AND w.conversion = e.conversion GROUP BY ALL""",
         "ungapped_best": f'WITH RECURSIVE {sql.scored(SMALL)} SELECT tid, roi_start, conversion, qname, min(score) AS score, count(*) AS n_paths, CAST(sum(CAST(score AS BIGINT) * 1000 + "offset") AS BIGINT) AS digest FROM scores GROUP BY ALL',
         "path_votes": f"WITH RECURSIVE {sql.scored(SMALL)} SELECT tid, roi_start, conversion, CAST(sum(n) AS BIGINT) AS votes, max(n) AS most FROM voted GROUP BY ALL",
         "path_assign": f'WITH RECURSIVE {sql.scored(SMALL)} SELECT p.tid, p.roi_start, p.conversion, qname, score, "offset", path FROM picked p JOIN numbered n ON p.tid = n.tid AND p.roi_start = n.roi_start AND p.conversion = n.conversion AND p.path_id = n.path_id WHERE place = 1',

@@ -72,6 +72,17 @@ SPANS = """spans AS (
          pos + CAST(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1), lambda x: CAST(x AS INTEGER))) AS INTEGER) - 1 AS span_end FROM reads)"""
 PAIRS = f"""{SPANS}, pairs AS (
   SELECT s.*, r.start AS roi_start, r."end" AS roi_end FROM spans s JOIN roi r ON s.tid = r.tid AND span_start <= r."end" AND span_end >= r.start)"""
+
+
+def members(reach: int) -> str:
+    """roi and spans to members: pairs that overlap, and reads that begin before a region's end, not before its first mapped read, within reach of it."""
+    return f"""near AS (
+  SELECT s.*, r.start AS roi_start, r."end" AS roi_end, span_start <= r."end" AND span_end >= r.start AS direct
+  FROM spans s JOIN roi r ON s.tid = r.tid AND span_start <= r."end" AND span_end >= r.start - {reach}
+), opening AS (SELECT tid, roi_start, roi_end, min(pos) AS first FROM near WHERE direct AND flag & 4 = 0 GROUP BY ALL
+), members AS (SELECT n.* FROM near n JOIN opening o ON n.tid = o.tid AND n.roi_start = o.roi_start AND n.roi_end = o.roi_end WHERE direct OR (pos >= first AND pos < n.roi_end))"""
+
+
 STRAND = """CASE WHEN xg IS NULL THEN CASE WHEN flag & 1 = 1 THEN
       CASE WHEN flag & 80 = 80 THEN 2 WHEN flag & 64 = 64 THEN 1 WHEN flag & 144 = 144 THEN 1 WHEN flag & 128 = 128 THEN 2 ELSE 0 END
       ELSE CASE WHEN flag & 16 = 16 THEN 2 ELSE 0 END END

@@ -38,6 +38,60 @@ def test_ungapped_does_not_fit():
     assert al.ungapped(al.codes("ATGAT"), [al.codes("ATGATT")], 2, [0])[0].tolist() == [-1]
 
 
+def plain_gapped(path, ref, k):
+    """The CIGAR by the rule, cell by cell: a gap's first letter costs 8, and 3 where the cell beside it was best reached by the same gap."""
+    if path == ref:
+        return f"{len(path)}M"
+    a, b = al.codes(path[k - 1 : len(path) - k + 1]), al.codes(ref[k - 1 : len(ref) - k + 1])
+    best, ways = {(0, 0): 0}, {(0, 0): ""}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i or not j:
+                best[i, j], ways[i, j] = -(5 + 3 * (i + j)) if i + j else 0, "D" * (j > 0) + "I" * (i > 0)
+                continue
+            gap = lambda cell, way: best[cell] - 3 - 5 * (way not in ways[cell])
+            scores = {"M": best[i - 1, j - 1] - int(al.PENALTY[a[i - 1], b[j - 1]]), "I": gap((i - 1, j), "I"), "D": gap((i, j - 1), "D")}
+            best[i, j] = max(scores.values())
+            ways[i, j] = "".join(w for w in "MID" if scores[w] == best[i, j])
+    i, j, way, out = len(a), len(b), "M", ""
+    while i and j:
+        way = way if way in ways[i, j] else ways[i, j][0]
+        out, i, j = way + out, i - (way != "D"), j - (way != "I")
+    return al.packed("M" * (k - 1) + "D" * j + "I" * i + out + "M" * (k - 1))
+
+
+def test_gapped_against_single_cells():
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("ATGN" if r.random() < 0.1 else "ATG") for _ in range(n))
+    for k in (3, 5):
+        pairs = []
+        for _ in range(150):
+            head, tail, ref = letters(k), letters(k), letters(r.randint(0, 25))
+            path = list(ref)
+            for _ in range(r.randint(0, 3)):
+                at = r.randint(0, len(path))
+                path[at : at + r.choice([0, 0, 1, 4])] = letters(r.choice([0, 1, 5]))
+            pairs.append((head + "".join(path) + tail, head + ref + tail))
+        got = al.gapped([al.codes(p) for p, _ in pairs], [al.codes(x) for _, x in pairs], k)
+        assert got == [plain_gapped(p, x, k) for p, x in pairs]
+
+
+def test_ungapped_against_single_places():
+    r = random.Random(6)
+    for _ in range(200):
+        path, k = al.codes("".join(r.choice("ATGN") for _ in range(r.randint(1, 40)))), r.choice([1, 3, 5])
+        reads = [al.codes("".join(r.choice("ATGN") for _ in range(r.randint(1, 20)))) for _ in range(5)]
+        likely = [r.randint(-4, 40) for _ in reads]
+        cost, at = al.ungapped(path, reads, k, likely)
+        for i, read in enumerate(reads):
+            score = lambda o: sum(int(al.PENALTY[x, y]) for x, y in zip(read, path[o : o + len(read)]))  # noqa: E731,B023
+            tries = [(score(o), 1, o) for o in range(k, len(path) - len(read) - k + 1)]
+            if 0 <= likely[i] <= len(path) - len(read) and score(likely[i]) < 3 * (len(read) // 4):
+                tries.append((score(likely[i]), 0, likely[i]))
+            want = min(tries, default=(-1, 0, 0))
+            assert cost[i] == want[0] and (want[0] < 0 or at[i] == want[2])
+
+
 def test_gapped_lengths():
     r = random.Random(1)
     for _ in range(300):

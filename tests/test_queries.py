@@ -8,7 +8,7 @@ import pytest
 from haplospark.plans.queries import oracle_sql, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-LIGHT = ("reads_scan", "contigs_scan", "cigar_ops", "base_positions", "read_span", "indel_events", "roi_islands", "roi_depth", "bed_merge", "strand_class", "ct_convert", "ga_convert", "reduced_alphabet", "roi_overlap", "roi_group_cap", "reads_outside", "ref_window", "roi_chains", "max_indel", "sketch_layout", "edit_distance", "accept_rule", "op_oc_tags")
+LIGHT = ("reads_scan", "contigs_scan", "cigar_ops", "base_positions", "read_span", "indel_events", "roi_islands", "roi_depth", "bed_merge", "strand_class", "ct_convert", "ga_convert", "reduced_alphabet", "roi_overlap", "roi_group_members", "chain_reads", "roi_group_cap", "reads_outside", "ref_window", "roi_chains", "max_indel", "sketch_layout", "edit_distance", "accept_rule", "op_oc_tags")
 
 
 @pytest.fixture(scope="module")
