@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,26 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LIBC = getattr(ctypes.CDLL(None), "malloc_trim", None) and ctypes.CDLL(None)
-#: Only where spark.checkpoint.dir is unset and all tasks run on this machine, as in tests.
-LOCAL_SCRATCH = "file:/tmp/checkpoints/haplospark"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of the cluster, spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from haplospark.storage import scratch, stored  # noqa: F401
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """*df* written as Parquet into the shared folder and read back: cuts the lineage, outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_LIBC = getattr(ctypes.CDLL(None), "malloc_trim", None) and ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,12 +69,38 @@ def hot_keys(df: DataFrame, key: str) -> list[int]:
     return sorted(r[0] for r in counts.where((F.col("rows") > least) & F.col(key).isNotNull()).select(key).collect())
 
 
-def joined(many: DataFrame, one: DataFrame, key: str, hot: list[int], how: str = "inner") -> DataFrame:
-    """many joined with one(key, ...), which has a row for each key: hot keys by a broadcast of HOT_SHARE rows at most, the others by a shuffle."""
+def joined(many: DataFrame, one: DataFrame, key: str, hot: list[int], how: str = "inner", salts: int = 0) -> DataFrame:
+    """many joined with one(key, ...), which has a row for each key.
+
+    Rows of hot keys meet a broadcast of HOT_SHARE rows at most; with *salts*, as where rows of *one* are
+    large, they are shuffled by key and one of so many salts. The others are shuffled by key.
+    """
     if not hot:
         return many.join(one, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return many.where(~is_hot).join(one.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how))
+    left, right = many.where(is_hot), one.where(is_hot)
+    return many.where(~is_hot).join(one.where(~is_hot), key, how).unionByName(salted(left, right, [key], salts, how) if salts else left.join(F.broadcast(right), key, how))
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int, how: str = "inner") -> DataFrame:
+    """left joined with right, by keys and a salt that left's rows get by their content and right's rows have all of."""
+    salt = free_name("salt", left.columns, right.columns)
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), [*keys, salt], how).drop(salt)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about *size* bytes of *column*, and *rows* rows at most, put together from smaller ones."""
+    held, n, n_bytes = [], 0, 0
+    for batch in pieces(batches, rows, size, column):
+        own = int(_ends(batch.column(column))[-1]) if batch.num_rows else 0
+        if held and (n + batch.num_rows > rows or n_bytes + own > size):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, n_bytes = [], 0, 0
+        if batch.num_rows:
+            held, n, n_bytes = [*held, batch], n + batch.num_rows, n_bytes + own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def free_name(name: str, *taken: list[str]) -> str:

@@ -9,13 +9,13 @@ numbered parts, and a manifest keeps for each part the numbers of documents and
 leaves.  One more row, the head, keeps the number of parts, the Merkle root over their roots, the width of an id, the end
 id and a digest of the tokenizer's file.  ``read_store`` reads those files only: it checks each chunk against its address, each
 recipe against its leaf, each part against its root and the parts against the head, and fails on any
-difference: a part, a recipe or a manifest row that is missing or there twice, too.  What reaches the driver is a manifest
-row for each part, of which there are as many as tasks that wrote.
+difference: a part, a recipe or a manifest row that is missing or there twice, too.  What reaches the driver is
+two rows for each part, of which there are as many as tasks that wrote.
 
 Files below the given path: ``packs`` (kind 'c': chunks; kind 'r': staged recipes), ``recipes``,
 ``manifest``, ``head``.  Chunk rows are shuffled once by address after each task has dropped its own
-repeats, so a chunk of a third of all documents is a row for each task; there they are sorted, and of equal neighbours
-one stays.  Lengths, starts and
+repeats, so a chunk of a third of all documents is a row for each task; the number of parts follows the size of the
+texts, so what a task remembers has a bound.  Lengths, starts and
 checksums come from light rows; chunk bytes never travel a second time.
 
 Null texts are empty texts, and an empty text is one chunk with the end id alone.  Repeated rows
@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import _common
@@ -40,9 +41,12 @@ from haplospark.llm._encoder import encoder
 
 WINDOW = 8
 DIGEST = 16
+#: Text whose chunks one task keeps apart, about: some hundred thousand addresses.
+PART_BYTES = 64 << 20
 #: The reflected polynomial of CRC-32, a fixed value.
 CRC_POLYNOMIAL = 0xEDB88320
-PACK_SCHEMA = "kind string, key binary, doc_id bigint, n bigint, payload binary, counts binary"
+#: Recipes have their addresses in a column of their own, so that who reads recipes reads no chunk, and the other way round.
+PACK_SCHEMA = "kind string, key binary, doc_id bigint, n bigint, payload binary, digests binary, counts binary"
 MANIFEST_SCHEMA = "part int, n_docs bigint, n_ids bigint, root binary"
 HEAD_SCHEMA = "n_parts bigint, top binary, width int, end_id bigint, tokenizer binary"
 RECIPE_SCHEMA = "part int, position bigint, doc_id bigint, start_in_part bigint, n bigint, digests binary, counts binary, leaf binary"
@@ -110,20 +114,21 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mea
                     addresses.append(key := digest(chunk))
                     if key not in seen:
                         seen.add(key)
-                        rows.append(("c", key, None, e - begun, chunk, None))
+                        rows.append(("c", key, None, e - begun, chunk, None, None))
                     begun = e
-                rows.append(("r", digest(str(doc_id).encode()), doc_id, n, b"".join(addresses), np.diff(ends, prepend=0).astype("<u4").tobytes()))
+                rows.append(("r", digest(str(doc_id).encode()), doc_id, n, None, b"".join(addresses), np.diff(ends, prepend=0).astype("<u4").tobytes()))
             if len(seen) > 1 << 18:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[bytes] = set()
         for batch in batches:
             keep = []
             for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist()):
-                keep.append(kind == "r" or key != last)
-                last = key if kind == "c" else last
+                keep.append(kind == "r" or key not in seen)
+                if kind == "c":
+                    seen.add(key)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +142,11 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mea
 
     spark = docs.sparkSession
     source = _common.bounded(docs).selectExpr("cast(doc_id as bigint) doc_id", f"`{column}` as text")
-    source.mapInArrow(encode, PACK_SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(once, PACK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/packs")
-    staged = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'r'").selectExpr("doc_id", "n", "payload as digests", "counts")
+    # A part of the addresses is a set in one task: PART_BYTES of text have about PART_BYTES / (4 * mean) chunks, whatever the input.
+    n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, n_bytes // PART_BYTES + 1)
+    source.mapInArrow(encode, PACK_SCHEMA).repartition(parts, "key").mapInArrow(once, PACK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/packs")
+    staged = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'r'").select("doc_id", "n", "digests", "counts")
     staged.repartitionByRange("doc_id", "digests").sortWithinPartitions("doc_id", "digests").mapInArrow(numbered, RECIPE_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     parts = _parts(spark, path)
@@ -189,14 +197,27 @@ def crc_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _shifts() -> list[np.ndarray]:
+    """For each k the products of a checksum's four bytes, at their places, with x to the 8 * 2**k."""
+    out, power = [], np.array([1 << 23], np.uint32)  # x to the 8
+    places = (np.arange(256, dtype=np.uint32)[None] << (8 * np.arange(4, dtype=np.uint32))[:, None]).ravel()
+    for _ in range(48):
+        out.append(crc_product(np.full(len(places), power[0], np.uint32), places).reshape(4, 256))
+        power = crc_product(power, power)
+    return out
+
+
 def crc_before(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """What bytes of checksum *crc* add to the checksum of a stream in which *n_bytes* follow them."""
     out, n = crc.astype(np.uint32), n_bytes.astype(np.int64)
-    power = np.array([1 << 23], np.uint32)  # x to the 8
-    while n.any():
+    for table in _shifts():
+        if not n.any():
+            break
         odd = np.flatnonzero(n & 1)
-        out[odd] = crc_product(np.full(len(odd), power[0], np.uint32), out[odd])
-        n, power = n >> 1, crc_product(power, power)
+        own = out[odd]
+        out[odd] = table[0][own & 255] ^ table[1][own >> 8 & 255] ^ table[2][own >> 16 & 255] ^ table[3][own >> 24]
+        n = n >> 1
     return out
 
 
@@ -232,21 +253,22 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("position"), pa.array(crc.astype(np.int64)), batch.column("n")], ["part", "position", "crc", "n"])
 
     recipes = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes")
-    manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
-    # A row for each part, whose number is that of the tasks that wrote the recipes. A part that only one side has fails as well.
-    again = _roots(recipes).selectExpr("part as p", "n_docs as d_again", "n_ids as n_again", "root as root_again")
-    same = "coalesce(n_ids = n_again and n_docs = d_again and root = root_again, false)"
-    offsets = manifest.join(again, F.col("part") == F.col("p"), "full_outer").selectExpr("coalesce(part, p) as part", f"if({same}, n_ids, cast(raise_error('a part differs from its Merkle root') as bigint)) as n_ids")
-    offsets = offsets.select("part", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("offset"))
+    # Held against the manifest before anything else, for a lazy plan may never look at a part that has no rows.
+    again = {r.part: tuple(r) for r in _roots(recipes).collect()}
+    parts = _parts(spark, path)
+    if again != {r.part: tuple(r) for r in parts}:
+        raise ValueError("a part of the recipes differs from its Merkle root, or is missing")
+    before = np.cumsum([0, *(r.n_ids for r in parts)]).tolist()
+    offsets = spark.createDataFrame([(r.part, n) for r, n in zip(parts, before)], "part int, offset bigint")
     chunks = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/packs").where("kind = 'c'").select("key", "payload").mapInArrow(checked, "digest binary, stored bigint, crc bigint")
-    parts = recipes.select("part", "position", "digests", "counts", "leaf").mapInArrow(references, "part int, position bigint, digest binary, n bigint, after bigint")
-    sums = parts.join(chunks, "digest", "left").select("part", "position", "n", "after", "crc", "stored").mapInArrow(shifted, "part int, position bigint, crc bigint, n bigint")
+    named = recipes.select("part", "position", "digests", "counts", "leaf").mapInArrow(references, "part int, position bigint, digest binary, n bigint, after bigint")
+    sums = named.join(chunks, "digest", "left").select("part", "position", "n", "after", "crc", "stored").mapInArrow(shifted, "part int, position bigint, crc bigint, n bigint")
     sums = sums.groupBy("part", "position").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_chunks"))
     light = recipes.select("part", "position", "doc_id", "start_in_part", F.col("n").alias("n_named"))
     return (
         light.join(sums, ["part", "position"])
-        .join(F.broadcast(offsets), "part", "left")
-        .select("doc_id", F.expr("if(offset is not null, offset + start_in_part, cast(raise_error('a part lacks its manifest row') as bigint))").alias("start"), F.expr("if(n_tokens = n_named, n_tokens, cast(raise_error('a length differs') as bigint))").alias("n_tokens"), "ids_crc32", "n_chunks")
+        .join(F.broadcast(offsets), "part")
+        .select("doc_id", (F.col("offset") + F.col("start_in_part")).alias("start"), F.expr("if(n_tokens = n_named, n_tokens, cast(raise_error('a length differs') as bigint))").alias("n_tokens"), "ids_crc32", "n_chunks")
     )
 
 

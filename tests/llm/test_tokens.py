@@ -13,10 +13,10 @@ from haplospark.llm import _common, token_store
 from haplospark.llm._encoder import encoder
 from haplospark.llm.piece_sampling import MARK, _sampler, _units, decode, encode, lattice, with_pieces
 from haplospark.llm.queries import tokenizer_path
-from haplospark.llm.token_counts import spliced_ids, token_counts
+from haplospark.llm.token_counts import piece_count, spliced_ids, token_counts
 
 BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
-PARTS = ["a", "b1", " ", " ", "\n", "\t", " ", "é", "<|endoftext|>", "'s", "!", "\x1c", "  ", "foo", "Bär", "日本", "x" * 40, "."]
+PARTS = ["a", "b1", " ", " ", "\n", "\t", " ", "é", "<|endoftext|>", "'s", "!", "\x1c", "  ", "foo", "Bär", "日本", "x" * 40, ".", "\uffff", "\u2581"]
 
 
 @pytest.fixture
@@ -53,10 +53,29 @@ def test_counts(docs, texts, chunk):
         t = texts[r.doc_id] or ""
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 20)
+        assert (r.n_chunks > 1) <= (len(t) > chunk) and (r.n_chunks == 0) == (t == "")
+    assert sum(r.n_chunks > 1 for r in got) > 20 or chunk > 16
 
 
-def test_counts_of_a_piece_model(spark):
-    assert token_counts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PIECES).first().n_tokens == 2
+@pytest.mark.parametrize("chunk", [16, 1 << 16])
+def test_counts_of_a_piece_model(docs, texts, chunk):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=PIECES)
+    for r in token_counts(docs, PIECES, chunk_chars=chunk, overlap_chars=4).collect():
+        assert r.n_tokens == len(library.encode(texts[r.doc_id] or ""))
+    assert piece_count(library, "one two three four five six", 8, 4)[1] > 2
+
+
+def test_long_documents_are_spliced(spark):
+    """The registered query's own parameters send ordinary long documents through chunks."""
+    from haplospark.llm.queries import op2_token_counts
+
+    library = encoder(BPE).library
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op2_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n_chunks > 1 for r in got) >= 10
+    assert all(r.n_tokens == len(library.encode(docs[r.doc_id], add_special_tokens=False)) for r in got)
 
 
 def test_store_round_trip(spark, docs, texts):
@@ -83,12 +102,34 @@ def test_store_finds_damage(spark, docs):
     packs = spark.read.parquet(f"{path}/packs")
     bad = packs.withColumn("payload", F.when((F.col("kind") == "c") & (F.length("payload") > 20), F.expr("concat(substring(payload, 1, 2), substring(payload, 1, length(payload) - 2))")).otherwise(F.col("payload")))
     bad.write.parquet(f"{path}-bad/packs")
-    for name in ("recipes", "manifest"):
+    for name in ("recipes", "manifest", "head"):
         spark.read.parquet(f"{path}/{name}").write.parquet(f"{path}-bad/{name}")
     with pytest.raises(Exception, match="address"):
         token_store.read_store(spark, f"{path}-bad").collect()
 
 
+@pytest.mark.parametrize("lost", ["manifest", "recipes", "head"])
+def test_store_finds_what_is_missing(spark, docs, lost):
+    path = _common.scratch(spark, "test-store")
+    token_store.write_store(docs, BPE, path)
+    for name in ("packs", "recipes", "manifest", "head"):
+        table = spark.read.parquet(f"{path}/{name}")
+        if name == lost and name != "head":
+            table = table.where(F.col("part") != table.agg(F.min("part")).first()[0])
+        (table.limit(0) if name == lost == "head" else table).write.parquet(f"{path}-less/{name}")
+    assert token_store.read_store(spark, path).count() == docs.count()
+    with pytest.raises(Exception, match="lacks a part|Merkle root|one head"):
+        token_store.read_store(spark, f"{path}-less").collect()
+
+
+def test_store_keeps_its_width(spark):
+    path = _common.scratch(spark, "test-store")
+    token_store.write_store(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), BPE, path, end_id=7)
+    head = spark.read.parquet(f"{path}/head").first()
+    assert (head.width, head.end_id, head.n_parts) == (2, 7, 1)
+    assert np.frombuffer(bytes(token_store.read_ids(spark, path).first().ids), "<u2")[-1] == 7
+
+
 def test_store_of_nothing(spark):
     path = _common.scratch(spark, "test-store")
     token_store.write_store(spark.createDataFrame([], "doc_id long, text string"), BPE, path)
@@ -123,7 +164,8 @@ def test_pieces_come_back(spark, docs, texts):
     key = ("doc_id", "n_pieces", "ids_crc32")
     assert sorted(map(tuple, again.select(*key).collect())) == sorted(map(tuple, out.select(*key).collect()))
     assert encode(docs, PIECES, seed=5).select("ids_crc32").subtract(out.select("ids_crc32")).count() > 0
-    assert with_pieces(docs, PIECES).columns == ["doc_id", "text", "n_tokens", "kind", "pieces", "lossless"]
+    assert with_pieces(docs, PIECES).columns == ["doc_id", "text", "n_tokens", "kind", "pieces", "pieces_", "lossless"]
+    assert with_pieces(docs, PIECES).where("pieces != 'p' or not lossless").count() == 0
     assert with_pieces(docs.limit(0), PIECES).collect() == []
 
 
@@ -152,9 +194,19 @@ def test_samples_follow_the_weights():
     assert all(good) and max(abs(seen[k] / n - math.exp(w) / total) for k, w in every) < 0.015
 
 
+def test_rows_do_not_depend_on_their_batch(texts):
+    sample, plain = _sampler(PIECES, 3, 1.0), [t or "" for t in texts]
+    ids, counts, good = sample(list(range(len(plain))), plain)
+    ends = np.cumsum(counts)
+    assert all(good)
+    for i in range(0, len(plain), 7):
+        assert sample([i], [plain[i]])[0].tolist() == ids[ends[i] - counts[i] : ends[i]].tolist()
+
+
 def test_deep_lattices_are_those_of_shallow_ones(texts):
     model, units = lattice(PIECES, 1.0), sorted({u for t in texts for u in _units(t or "")} | {MARK + "there", MARK + "informational\n" * 20})
-    last, key, start, *rest = shallow = model.filtered(units)
+    last, begin, share, start, *rest = shallow = model.filtered(units)
     for a, b in zip(shallow, model.filtered(units, deepest=1)):
         assert np.array_equal(a, b)
-    assert (np.diff(key) >= 0).all() and len(key) > 2 * len(units)
+    ends = np.append(begin[1:], len(share))
+    assert all((np.diff(share[a:b]) >= 0).all() and share[b - 1] == 1 << 24 for a, b in zip(begin, ends) if b > a) and len(share) > 2 * len(units)
