@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haplospark.llm import _common
 from haplospark.llm.decontamination import contaminated
+from haplospark.llm.jaccard_join import ORACLE as JACCARD_SQL
 from haplospark.llm.jaccard_join import jaccard_components
 from haplospark.llm.language_id import language_id
 from haplospark.llm.personal_data import find
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk_search": TOP_K_SQL}
+    return {"op6_jaccard_join": JACCARD_SQL, "op8_topk_search": TOP_K_SQL}

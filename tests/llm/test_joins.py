@@ -5,9 +5,11 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from haplospark.llm import _common
 from haplospark.llm import jaccard_join as jj
 from haplospark.llm import queries as q
 from haplospark.llm.components import components
@@ -57,10 +59,14 @@ def made(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed, matches, block", [(1, 2, 8192), (2, 4, 7), (3, 1, 50)])
-def test_components_against_brute_force(spark, monkeypatch, seed, matches, block):
+@pytest.mark.parametrize("seed, matches, block, hot, filtered, many", [(1, 8, 7500, 1000, 1 << 22, 1024), (2, 4, 7, 3, 0, 1024), (3, 1, 50, 1, 1 << 22, 1)])
+def test_components_against_brute_force(spark, monkeypatch, seed, matches, block, hot, filtered, many):
+    """hot: rows from which a key is split; filtered: documents that a filter takes; many: hash ranges from which blocks grow."""
     monkeypatch.setattr(jj, "MOST_MATCHES", matches)
     monkeypatch.setattr(jj, "BLOCK_DOCS", block)
+    monkeypatch.setattr(jj, "MOST_FILTERED", filtered)
+    monkeypatch.setattr(jj, "MANY_RANGES", many)
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
     docs = made(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("x"), "tokens": F.lit(1)}).repartition(5)
     assert sorted(map(tuple, jj.jaccard_components(df).collect())) == brute(docs)
@@ -71,16 +77,27 @@ def test_real_documents(spark):
     assert sorted(map(tuple, q.op6_jaccard_join(spark, SF).collect())) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, monkeypatch):
     rows = [(1, "a b c d e f g h", 5), (1, "a b c d e f g h", 5), (2, "a b c d e f g h", 6), (3, "zz", 7), (None, "q", 1), (None, "q", 1), (4, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label long")
     got = sorted(map(tuple, jj.jaccard_components(df).where("doc_id is not null").collect()))
     assert got == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 1, 3), (4, 0, 4)]
+    clashing = {c: F.lit(c) for c in ("slot", "word", "mask", "low", "rows", "row", "salt", "component_id", "_word", "_mask", "a.b")}
+    for most in (1 << 22, 0):
+        monkeypatch.setattr(jj, "MOST_FILTERED", most)
+        wide = jj.one_of_each(df.withColumns(clashing))
+        assert wide.columns == [*df.columns, *clashing] and sorted((r.doc_id or 0, r.word, r["a.b"], r._mask) for r in wide.collect()) == [(i, "word", "a.b", "_mask") for i in (0, 0, 1, 3, 4)]
     kept = jj.one_of_each(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3, 4]
     assert jj.jaccard_components(df.limit(0)).collect() == []
 
 
+def test_links_of_a_busy_id(spark, monkeypatch):
+    monkeypatch.setattr(_common, "HOT_ROWS", 5)
+    links = spark.createDataFrame([(50, i) for i in range(60, 90)] + [(89, 7), (1, 2)], "a long, b long")
+    assert {r.id: r.label for r in components(links).collect()} == {**dict.fromkeys([50, *range(60, 90), 7], 7), 1: 1, 2: 1}
+
+
 def test_long_chains_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(3, 200), (200, 7), (5, 5)], "a long, b long")
     got = {r.id: r.label for r in components(links).collect()}
@@ -112,27 +129,59 @@ def test_top_k_of_tables(spark):
     assert sorted(map(tuple, q.op8_topk_search(spark, SF).collect())) == sorted(duck.execute(ORACLE).fetchall())
 
 
+def least_distances(item, text):
+    """The edit distance of the item to the best passage that ends at each place of the text, row by row of the whole matrix."""
+    codes = np.array([*map(ord, text)])
+    at = np.arange(len(codes) + 1)
+    row = np.zeros(len(codes) + 1, np.int32)
+    for i, c in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)
+        row = (np.minimum.accumulate(new - at) + at).astype(np.int32)
+    return row
+
+
 def test_pipeline(spark):
+    """Every stage against a plain version of its own: links of whole sets, distances of whole matrices, patterns as they are written."""
     import corpus_pipeline as cp
-    from haplospark.llm import decontamination, language_id, personal_data
+    from haplospark.llm import language_id, personal_data
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = {r.doc_id: r for r in cp.run(spark, SF).collect()}
+    from test_text import brute_personal
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = {r.doc_id: r for r in cp.run(spark, small).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    left = {d for d, t in texts.items() if language_id.has_letter(t)}
-    low = {d: c for d, _, c in brute([(d, texts[d]) for d in sorted(left)])}
-    left = {d for d in left if low[d] == d}
-    items = decontamination.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 0.06)
-    order = sorted(left)
-    left -= {order[t] for t, *_ in items.matches([texts[d] for d in order])}
-    assert set(out) == left
-    order = sorted(left)
-    for d, (_, spans) in zip(order, personal_data.all_spans([texts[d] for d in order], personal_data.trained())):
-        assert out[d].text == personal_data.mask(texts[d], spans) and out[d].n_chars == len(out[d].text) and out[d].lossless
+    model = language_id.train(docs.where(~language_id.held_out()))
+    left = sorted(texts)
+    judged = language_id.judged([texts[d] for d in left], model)
+    left = [d for d, lang, score, fit in zip(left, *judged) if lang != "und" and score >= 0.5 and fit >= 0.4]
+    low = {d: c for d, _, c in brute([(d, texts[d]) for d in left])}
+    left = [d for d in left if low[d] == d]
+    plain = lambda t: " ".join(t.lower().split())
+    joined = [plain(texts[d]) for d in left]
+    # A character that no item has keeps passages within one text.
+    ends = np.cumsum([len(t) + 500 for t in joined])
+    line, dirty = "".join(t + "\0" * 500 for t in joined), set()
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        item = plain(r.text)
+        near = np.flatnonzero(least_distances(item, line)[1:] <= int(0.06 * len(item)))
+        dirty |= set(np.searchsorted(ends, near, "right").tolist())
+    left = [d for i, d in enumerate(left) if i not in dirty]
+    assert sorted(out) == left and dirty
+    masked = 0
+    for d in left:
+        t, spans = texts[d], brute_personal(texts[d])
+        free = [s for s in personal_data.trained().spans([t])[0] if not any(a < s[2] and s[0] < b for a, _, b in spans)]
+        new = personal_data.mask(t, sorted([*spans, *free]))
+        masked += new != t
+        assert out[d].text == new and out[d].n_chars == len(new) and out[d].lossless
+    assert masked
     assert [n for n, _ in cp.STAGES] == ["language_id", "jaccard_join", "decontamination", "personal_data", "pieces"]
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
-        assert stage(spark, empty, SF).count() == 0
+        assert stage(spark, empty, small).count() == 0
 
 
 def test_registry():
