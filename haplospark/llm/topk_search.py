@@ -11,7 +11,8 @@ the chunk of queries it is at, so later chunks of vectors start from them.
 Ties go to the smaller vec_id.  Rows without an id, and vectors that are null, empty or hold a null
 or non-finite component, take no part; vectors of another length than the query's are no candidates.  Repeated rows are candidates each; a
 repeated query gives its results once.  Further columns are ignored; empty tables give none.
-Scores must fit a long.
+Scores, and the sums of greatest contributions above them, must fit a long: components below 2**20 in
+absolute value and fewer than 2**22 of them do.
 """
 
 from __future__ import annotations
@@ -136,7 +137,9 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) ->
     groups = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = corpus.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
     asked = queries.selectExpr("q", "dim", "ids as q_ids", "vectors as q_vectors", f"explode(sequence(0L, {groups - 1}L)) as group")
-    steps = dealt.join(asked, ["dim", "group"]).drop("group")
+    # By a shuffle whatever Spark thinks of the sizes, for it doesn't see how often queries are repeated; and queries
+    # on the streamed side, so that one chunk of them meets all chunks of vectors before the next one comes.
+    steps = asked.hint("merge").join(dealt.hint("merge"), ["dim", "group"]).drop("group")
     found = steps.mapInArrow(meet, _ROWS)
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(f"rank <= {k}")
