@@ -31,6 +31,8 @@ from haplospark.llm import _common
 
 NGRAM = 3
 BUCKETS = 1 << 15
+#: More labels are an error: the matrix that is broadcast has 128 KB for each.
+MOST_LANGUAGES = 500
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, fit double"
 _KNOWN = 0x20000  # code points of which each is looked up once; letters beyond are ideographs
 _LETTER: list[np.ndarray] = []
@@ -78,7 +80,9 @@ def has_letter(text: str | None) -> bool:
 def train(labelled: DataFrame, per_language: int = 4000, alpha: float = 0.5) -> Model:
     """Fits labelled(doc_id, text, lang), rows without text or lang left out."""
     rows = labelled.selectExpr("cast(doc_id as bigint) doc_id", "text", "lang").where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: lang is no label of languages")
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)]), F.col("lang"))

@@ -8,7 +8,7 @@ documented bound of training; the sample's features are at most DIM numbers a ro
 fewer than LEAST_ROWS of them get no weight.  It scores whole texts in Arrow batches with the weights broadcast.
 
 Labels with a null are left out; of several labels of one document the least grade counts, and of
-repeated rows of it each is trained on.  Null and empty texts
+repeated rows of it the one with the least features, so that rows for training are no more than documents.  Null and empty texts
 have no features and get the thresholds' own distribution.  Repeated rows give
 repeated results.  Further columns are ignored.  An empty table gives an empty result; without
 labels every grade is as likely as any other.
@@ -100,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Model:
                 packed = [(bucket[a:b].astype("<u4").tobytes(), value[a:b].astype("<f4").tobytes()) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("grade"), *(pa.array(x, pa.binary()) for x in zip(*packed))], ["doc_id", "grade", "bucket", "value"])
 
-    rows = sorted(sample.mapInArrow(sparse, "doc_id bigint, grade int, bucket binary, value binary").collect())
+    found = sample.mapInArrow(sparse, "doc_id bigint, grade int, bucket binary, value binary")
+    rows = sorted(found.groupBy("doc_id").agg(F.min(F.struct("grade", "bucket", "value")).alias("r")).select("doc_id", "r.*").collect())
     if not rows:
         return Model(np.zeros(DIM), np.log(np.arange(1, GRADES) / np.arange(GRADES - 1, 0, -1)))
     size = [len(r.bucket) // 4 for r in rows]
