@@ -98,7 +98,7 @@ def piece_count(model, text: str, chunk_chars: int, overlap_chars: int) -> tuple
         start = stop + 1  # the model puts a space before a text, which is the one left out
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk_chars: int = 4096, overlap_chars: int = 256, column: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk_chars: int = 4096, overlap_chars: int = 128, column: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_chunks and n_widened of each row of docs(doc_id, column).
 
     *path*: a .json file of the tokenizers library, or a .model file of sentencepiece.  Texts of one
