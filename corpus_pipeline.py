@@ -1,6 +1,7 @@
 """A training corpus from ``documents``: five stages, each one operator of haplospark.llm over all rows that its predecessor kept.
 
-1. language_id: texts without an identified language go.
+1. language_id: texts without an identified language go: those without a letter, those that no learned language is likelier for
+   than all others, and those that are unlike the language they are nearest to (foreign scripts, random letters).
 2. jaccard_join: of the documents that word shingles link, the one with the smallest doc_id stays.
 3. decontamination: documents that hold a passage of a benchmark item, within its budget of edits, go.
 4. personal_data: personal data in texts is masked; all rows stay.
