@@ -59,24 +59,35 @@ def paths(found: set[str], reference: str, k: int, conversion: str, longest: int
     letters, start, target = LETTERS[conversion], reference[:k], reference[-k:]
     away = distances(found, target, letters)
     barred = tails_of_cycles(found, start, target, letters, longest) if no_cycles else set()
+    known: dict[str, tuple] = {}
+
+    def onward(here: str) -> tuple:
+        """The letters that go on from a k-mer, with the k-mers they lead to and how far those are from the target (-1: they are it)."""
+        if (got := known.get(here)) is None:
+            ends = [(c, here[1:] + c) for c in letters]
+            got = known[here] = tuple((c, then, -1 if then == target else away.get(then, longest + 2)) for c, then in ends if then == target or (then in found and then not in barred))
+        return got
+
     out: list[str] = []
-    walk, text = [iter(letters)], list(start)
+    walk, text, length = [iter(onward(start))], [start], k
     while walk and not (limit and len(out) > limit):
-        c = next(walk[-1], None) if len(text) <= longest else None
-        if c is None:
+        step = next(walk[-1], None) if length <= longest else None
+        if step is None:
             walk.pop()
             text.pop()
+            length -= 1
             continue
-        then = "".join(text[len(text) - k + 1 :]) + c
-        if then == target:
-            if len(text) + 1 < shortest:
+        c, then, far = step
+        if far < 0:
+            if length + 1 < shortest:
                 if stop_at_short:
                     walk[-1] = iter(())
-            elif len(text) + 1 > 2 * k + 1:
+            elif length + 1 > 2 * k + 1:
                 out.append("".join(text) + c)
-        elif then in found and then not in barred and len(text) + 1 + away.get(then, longest + 2) <= longest + 1:
-            walk.append(iter(letters))
+        elif length + far <= longest:
+            walk.append(iter(onward(then)))
             text.append(c)
+            length += 1
     return out
 
 
