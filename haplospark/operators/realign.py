@@ -333,7 +333,7 @@ def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings:
     # A row is one column, so that no name of its columns can meet one of those made here.
     kind = bisulfite.conversion(bisulfite.strand(F.col("flag"), F.col("xg"), settings.single_end_forward_is_top))
     whole = reads.select(F.struct(*(F.col(f"`{c}`") for c in reads.columns)).alias("rest"), *_row_hashes(reads), "tid", "pos", "cigar", "flag", kind.alias("kind"), F.col("seq").isNotNull().alias("readable"))
-    regions = storage.stored(regions.selectExpr("cast(tid as int) tid", "cast(start as int) start", "cast(end as int) end"), "regions")
+    regions = storage.stored(regions.selectExpr("cast(tid as int) tid", "cast(start as int) start", "cast(end as int) end").distinct(), "regions")
     usable = whole.where("pos is not null and cigar is not null and readable and tid is not null")
     pairs = overlap.grouped(usable, regions, size).select("rest", "h1", "h2", "kind", "tid", "roi_start", "roi_end", "span_start", "span_end")
     pairs = storage.stored(pairs, "pairs")
@@ -364,9 +364,9 @@ def realign(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings:
 
 
 def coordinate_sorted(reads: DataFrame) -> DataFrame:
-    """The reads in a total order by contig, position, end, name and flag."""
+    """The reads in a total order by contig, position, end, name and flag; those without a contig or a position come last."""
     end = cigar.last_position(F.col("pos"), F.col("cigar")) + 1
-    return reads.withColumn("endpos", end).orderBy("tid", "pos", "endpos", "qname", "flag")
+    return reads.withColumn("endpos", end).orderBy(F.asc_nulls_last("tid"), F.asc_nulls_last("pos"), "endpos", "qname", "flag")
 
 
 def bounded_pairs(reads: DataFrame, regions: DataFrame, contigs: DataFrame, settings: Settings = Settings()) -> DataFrame:

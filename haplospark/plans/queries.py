@@ -322,16 +322,23 @@ def oracle_sql() -> dict[str, str]:
         "kmer_sketch_md5": f"WITH {sql.counted(K)} SELECT tid, roi_start, roi_end, conversion, CAST(('0x' || left(md5(kmer), 8)) AS BIGINT) % 8192 AS bucket, least(CAST(sum(n) AS BIGINT), 15) AS n FROM counted GROUP BY ALL",
         "sketch_layout": f"""WITH {roi}, c AS (SELECT tid, start, 5 * ("end" - start + {4 * K - 1}) AS items FROM roi), d AS (SELECT *, CAST(round_even(-items / ln(0.9), 0) AS BIGINT) AS cells FROM c)
           SELECT *, CAST(2 ** ceil(log2(cells)) AS BIGINT) AS buckets FROM d""",
+        "kmer_murmur": f"WITH {sql.counted(K)}, {sql.murmur()} SELECT c.*, CAST(CASE WHEN h >= 9223372036854775808 THEN CAST(h AS HUGEINT) - 18446744073709551616 ELSE CAST(h AS HUGEINT) END AS BIGINT) AS hash FROM counted c JOIN hashed USING (kmer)",
         "kmer_sufficient": f"WITH {sql.sufficient(K)} SELECT * FROM suff",
         "max_indel": f"WITH {sql.patched(K)}, {sql.INDEL} SELECT * FROM indel",
-        "kmer_edges": f"""WITH {sql.sufficient(K)}, one AS (SELECT tid, roi_start, roi_end, conversion, kmer AS source, substr(kmer, 2) AS shared FROM suff
-          ), two AS (SELECT tid AS t, roi_start AS s, conversion AS c, kmer AS target, left(kmer, {K - 1}) AS shared FROM suff)
-          SELECT tid, roi_start, roi_end, conversion, source, target FROM one JOIN two ON one.shared = two.shared AND tid = t AND roi_start = s AND conversion = c""",
+        "kmer_edges": f"""WITH {sql.sufficient(K)}, source AS (SELECT tid, roi_start, roi_end, conversion, kmer AS source, substr(kmer, 2) AS shared FROM suff
+          ), target AS (SELECT tid AS t, roi_start AS s, conversion AS c, kmer AS target, left(kmer, {K - 1}) AS shared FROM suff)
+          SELECT tid, roi_start, roi_end, conversion, source, target FROM source JOIN target ON source.shared = target.shared AND tid = t AND roi_start = s AND conversion = c""",
         "haplotype_paths": f"WITH RECURSIVE {sql.walks(SMALL)} SELECT tid, roi_start, roi_end, conversion, path FROM haps",
+        "haplotype_paths_25": f"""WITH RECURSIVE {sql.walks(K)}, many AS (SELECT e.tid, e.roi_start, e.conversion, count(w.path) > 300 + 2 * (e.roi_end - e.roi_start - 1) AS too_many
+          FROM ends e LEFT JOIN walked w ON w.tid = e.tid AND w.roi_start = e.roi_start AND w.conversion = e.conversion GROUP BY e.tid, e.roi_start, e.roi_end, e.conversion)
+          SELECT n.tid, n.roi_start, n.roi_end, n.conversion, path_id, path, too_many FROM numbered n JOIN many m ON n.tid = m.tid AND n.roi_start = m.roi_start AND n.conversion = m.conversion""",
+        "gapped_cigar": f"""WITH RECURSIVE {sql.aligned(SMALL)} SELECT n.tid, n.roi_start, n.conversion, path_id, coalesce(g.cigar, length(n.path) || 'M') AS cigar
+          FROM numbered n JOIN ends e ON n.tid = e.tid AND n.roi_start = e.roi_start AND n.conversion = e.conversion LEFT JOIN cigars g ON g.path = n.path AND g.text = e.text""",
         "ref_path_union": f"WITH RECURSIVE {sql.walks(SMALL)} SELECT tid, roi_start, conversion, count(*) AS n_paths, CAST(count(*) - 1 AS INTEGER) AS last_id FROM haps GROUP BY ALL",
         "breadth_cap": f"WITH RECURSIVE {sql.walks(SMALL)} SELECT h.tid, h.roi_start, h.conversion, count(*) AS n_other, count(*) > 1 AS skipped FROM haps h JOIN refs r ON h.tid = r.tid AND h.roi_start = r.roi_start AND h.conversion = r.conversion AND h.path <> r.text GROUP BY ALL",
         "breadth_skipped": f"""WITH RECURSIVE {sql.walks(SMALL)} SELECT e.tid, e.roi_start, e.roi_end, e.conversion, count(w.path) > 1 + 2 * (e.roi_end - e.roi_start - 1) AS too_many
-          FROM ends e LEFT JOIN walked w ON w.tid = e.tid AND w.roi_start = e.roi_start AND w.conversion = e.conversion GROUP BY ALL""",
+          FROM ends e LEFT JOIN walked w ON w.tid = e.tid AND w.roi_start = e.roi_start AND w.conversion = e.conversion GROUP BY e.tid, e.roi_start, e.roi_end, e.conversion""",
+        "realign_full": f"WITH RECURSIVE {sql.realigned(K)}",
         "ungapped_best": f'WITH RECURSIVE {sql.scored(SMALL)} SELECT tid, roi_start, conversion, qname, min(score) AS score, count(*) AS n_paths, CAST(sum(CAST(score AS BIGINT) * 1000 + "offset") AS BIGINT) AS digest FROM scores GROUP BY ALL',
         "path_votes": f"WITH RECURSIVE {sql.scored(SMALL)} SELECT tid, roi_start, conversion, CAST(sum(n) AS BIGINT) AS votes, max(n) AS most FROM voted GROUP BY ALL",
         "path_assign": f'WITH RECURSIVE {sql.scored(SMALL)} SELECT p.tid, p.roi_start, p.conversion, qname, score, "offset", path FROM picked p JOIN numbered n ON p.tid = n.tid AND p.roi_start = n.roi_start AND p.conversion = n.conversion AND p.path_id = n.path_id WHERE place = 1',

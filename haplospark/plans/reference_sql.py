@@ -201,3 +201,112 @@ DISTANCE = """m AS (
 ), dist AS (
   SELECT qname, tid, pos, cigar, CAST(sum(hamming(own, there)) AS INTEGER) AS mismatches, CAST(sum(len) AS INTEGER) AS covered
   FROM (SELECT * FROM m WHERE op IN ('M','=','X') AND length(own) = length(there)) GROUP BY ALL)"""
+
+
+def aligned(k: int) -> str:
+    """numbered to cigars: paths on their references, one anti-diagonal of all matrices in a step, and the way back from the end.
+
+    A cell is struct(s: its score, m, n, e: whether a match, an insertion, a deletion is a best way into it); list index i + 1 is row i.
+    """
+    first = "-(5 + 3 * (d + 1))"
+    fit = "CASE WHEN b[CAST(d + 1 - i AS INTEGER)] = 'N' THEN 0 WHEN a[CAST(i AS INTEGER)] = 'N' THEN 1 WHEN a[CAST(i AS INTEGER)] = b[CAST(d + 1 - i AS INTEGER)] THEN 0 ELSE 3 END"
+    moves = f"""CASE WHEN i > d + 1 OR d + 1 - i > c THEN NULL
+        WHEN i = 0 THEN struct_pack(m := CAST(NULL AS INTEGER), n := CAST(NULL AS INTEGER), e := CAST({first} AS INTEGER))
+        WHEN i = d + 1 THEN struct_pack(m := CAST(NULL AS INTEGER), n := CAST({first} AS INTEGER), e := CAST(NULL AS INTEGER))
+        ELSE struct_pack(m := two[i].s - {fit}, n := one[i].s - 3 - CASE WHEN one[i].n THEN 0 ELSE 5 END, e := one[i + 1].s - 3 - CASE WHEN one[i + 1].e THEN 0 ELSE 5 END) END"""
+    best = "greatest(x.m, x.n, x.e)"
+    cell = f"CASE WHEN x IS NULL THEN NULL ELSE struct_pack(s := {best}, m := coalesce(x.m = {best}, false), n := coalesce(x.n = {best}, false), e := coalesce(x.e = {best}, false)) END"
+    return f"""{walks(k)}, pair AS (
+  SELECT row_number() OVER () AS pid, path, text, substr(path, {k}, length(path) - {2 * k - 2}) AS a, substr(text, {k}, length(text) - {2 * k - 2}) AS b
+  FROM (SELECT DISTINCT n.path, e.text FROM numbered n JOIN ends e ON n.tid = e.tid AND n.roi_start = e.roi_start AND n.conversion = e.conversion WHERE n.path <> e.text)
+), dp AS (
+  SELECT pid, a, b, CAST(length(a) AS INTEGER) AS r, CAST(length(b) AS INTEGER) AS c, 0 AS d, [struct_pack(s := 0, m := false, n := false, e := false)] AS one,
+         CAST([] AS STRUCT(s INTEGER, m BOOLEAN, n BOOLEAN, e BOOLEAN)[]) AS two FROM pair
+  UNION ALL
+  SELECT pid, a, b, r, c, d + 1, list_transform(list_transform(range(0, least(r, d + 1) + 1), lambda i: {moves}), lambda x: {cell}), one FROM dp WHERE d < r + c
+), back AS (
+  SELECT pid, r AS i, c AS j, 'M' AS way, '' AS ops FROM dp WHERE d = 0
+  UNION ALL
+  SELECT pid, i - CASE WHEN w <> 'D' THEN 1 ELSE 0 END, j - CASE WHEN w <> 'I' THEN 1 ELSE 0 END, w, w || ops FROM (
+    SELECT t.pid, t.i, t.j, t.ops, CASE WHEN (t.way = 'M' AND x.one[t.i + 1].m) OR (t.way = 'I' AND x.one[t.i + 1].n) OR (t.way = 'D' AND x.one[t.i + 1].e) THEN t.way
+        WHEN x.one[t.i + 1].m THEN 'M' WHEN x.one[t.i + 1].n THEN 'I' ELSE 'D' END AS w
+    FROM back t JOIN dp x ON x.pid = t.pid AND x.d = t.i + t.j WHERE t.i > 0 AND t.j > 0)
+), cigars AS (
+  SELECT path, text, array_to_string(list_transform(regexp_extract_all(repeat('M', {k - 1}) || repeat('D', j) || repeat('I', i) || ops || repeat('M', {k - 1}), 'M+|I+|D+'), lambda x: length(x) || x[1]), '') AS cigar
+  FROM back JOIN pair ON back.pid = pair.pid WHERE i = 0 OR j = 0)"""
+
+
+#: The low word of the murmur hash of 128 bits of kmers of 25 letters, step by step; counted(kmer, ...).
+def murmur() -> str:
+    m = "18446744073709551616"
+    mul = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) * CAST({b} AS UHUGEINT)) % CAST({m} AS UHUGEINT) AS UBIGINT)"
+    add = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) + CAST({b} AS UHUGEINT)) % CAST({m} AS UHUGEINT) AS UBIGINT)"
+    turn = lambda x, r: f"CAST((CAST({x} AS UHUGEINT) * CAST({1 << r} AS UHUGEINT)) % CAST({m} AS UHUGEINT) + CAST({x} AS UHUGEINT) // CAST({1 << 64 - r} AS UHUGEINT) AS UBIGINT)"
+    word = lambda at, n: " + ".join(f"CAST(ascii(kmer[{at + j + 1}]) AS UBIGINT) * CAST({256**j} AS UBIGINT)" for j in range(n))
+    c1, c2, seed = 0x87C37B91114253D5, 0x4CF5AD432745937F, 0xAAAAAAAA
+    steps = [
+        ("w", f"SELECT *, {word(0, 8)} AS k1, {word(8, 8)} AS k2, {word(16, 8)} AS t1, {word(24, 1)} AS t2 FROM (SELECT DISTINCT kmer FROM counted)"),
+        ("x1", f"SELECT *, {mul('k1', c1)} AS p, {mul('k2', c2)} AS q, {mul('t1', c1)} AS u, {mul('t2', c2)} AS v FROM w"),
+        ("x2", f"SELECT *, {turn('p', 31)} AS p2, {turn('q', 33)} AS q2, {turn('u', 31)} AS u2, {turn('v', 33)} AS v2 FROM x1"),
+        ("x3", f"SELECT kmer, {mul('p2', c2)} AS p3, {mul('q2', c1)} AS q3, {mul('u2', c2)} AS u3, {mul('v2', c1)} AS v3 FROM x2"),
+        ("x4", f"SELECT *, xor(CAST({seed} AS UBIGINT), p3) AS low, xor(CAST({seed} AS UBIGINT), q3) AS high FROM x3"),
+        ("x5", f"SELECT * REPLACE ({add(mul(add(turn('low', 27), seed), 5), 0x52DCE729)} AS low) FROM x4"),
+        ("x6", f"SELECT * REPLACE ({add(mul(add(turn('high', 31), 'low'), 5), 0x38495AB5)} AS high) FROM x5"),
+        ("x7", "SELECT kmer, xor(xor(low, u3), CAST(25 AS UBIGINT)) AS low, xor(xor(high, v3), CAST(25 AS UBIGINT)) AS high FROM x6"),
+        ("x8", f"SELECT kmer, {add('low', 'high')} AS low, high FROM x7"),
+        ("x9", f"SELECT kmer, low, {add('low', 'high')} AS high FROM x8"),
+    ]
+    for i, factor in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)):
+        steps.append((f"y{i}", f"SELECT kmer, {mul('xor(low, low >> 33)', factor)} AS low, {mul('xor(high, high >> 33)', factor)} AS high FROM {'x9' if not i else 'y0'}"))
+    steps.append(("hashed", f"SELECT kmer, {add('xor(low, low >> 33)', 'xor(high, high >> 33)')} AS h FROM y1"))
+    return ", ".join(f"{name} AS ({text})" for name, text in steps)
+
+
+def _spread(cigar: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({cigar}, '\\d+[MIDNSHP=X]'), lambda x: repeat(right(x, 1), CAST(left(x, length(x) - 1) AS INTEGER))), '')"
+
+
+def _packed(ops: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({ops}, 'M+|I+|D+|N+|S+|H+|P+|=+|X+'), lambda x: length(x) || x[1]), '')"
+
+
+def _cut(ops: str, bases: str) -> str:
+    """How many letters of spread operations hold so many bases."""
+    return f"CASE WHEN {bases} = 0 THEN 0 ELSE list_filter(range(1, length({ops}) + 1), lambda i: {ops}[CAST(i AS INTEGER)] IN ('M', 'I', 'S', '=', 'X'))[CAST({bases} AS INTEGER)] END"
+
+
+def realigned(k: int) -> str:
+    """The query realign_full, from reads to reads, where no read meets two regions: votes, choice, new CIGARs, distances and the rule of acceptance.
+
+    Names of reads get what may differ between equal ones, and lose it at the end.
+    """
+    both = f"{scored(k)}, {aligned(k)[len(walks(k)) + 2:]}"
+    both = both.replace(PAIRS, f"{PAIRS}, {members(k)}").replace("FROM pairs p JOIN win w", "FROM members p JOIN win w")
+    both = both.replace("SELECT qname, flag, i.tid, site - o AS pos, mapq,", "SELECT qname || '|' || flag || '|' || xg || '|' || mapq AS qname, flag, i.tid, site - o AS pos, mapq,")
+    ops = OPS.replace("FROM reads", "FROM alts").replace("ops AS (", "alt_ops AS (").replace("FROM ops", "FROM alt_ops").replace("placed AS (", "alt_placed AS (")
+    distance = DISTANCE.replace("FROM placed a", "FROM alt_placed a").replace("m AS (", "alt_m AS (").replace("FROM m ", "FROM alt_m ").replace("dist AS (", "alt_dist AS (")
+    return f"""{both}, chosen AS (
+  SELECT DISTINCT p.qname, p.tid, b.pos, b.cigar, b.seq, b.i0, b.i1, b.ref_start, p."offset" AS o, {_spread('b.cigar')} AS own, {_spread('g.cigar')} AS along
+  FROM picked p JOIN numbered n ON p.tid = n.tid AND p.roi_start = n.roi_start AND p.conversion = n.conversion AND p.path_id = n.path_id
+  JOIN ends e ON e.tid = p.tid AND e.roi_start = p.roi_start AND e.conversion = p.conversion JOIN cigars g ON g.path = n.path AND g.text = e.text
+  JOIN bounded b ON b.qname = p.qname AND b.tid = p.tid AND b.roi_start = p.roi_start WHERE place = 1
+), cuts AS (
+  SELECT *, {_cut('along', 'o')} AS begins, {_cut('along', '(o + i1 - i0 + 1)')} AS stops, {_cut('own', 'i0')} AS head_end, {_cut('own', '(i1 + 1)')} AS tail_from FROM chosen
+), parts AS (
+  SELECT *, substr(along, begins + 1, stops - begins) AS middle, substr(own, tail_from + 1) AS tail, regexp_extract(substr(along, begins + 1, stops - begins), '^D*') AS skipped FROM cuts
+), made AS (
+  SELECT qname, tid, pos, cigar, seq,
+         CAST(CASE WHEN i0 > 0 THEN pos ELSE ref_start + length(regexp_replace(left(along, begins), '[^MDN=X]', '', 'g')) + length(skipped) END AS INTEGER) AS new_pos,
+         {_packed("CASE WHEN i0 > 0 THEN left(own, head_end) || middle ELSE regexp_extract(own, '^H*') || substr(middle, length(skipped) + 1) END || CASE WHEN regexp_matches(tail, '[MIS=X]') THEN tail ELSE regexp_replace(tail, '[^H]', '', 'g') END")} AS new_cigar
+  FROM parts
+), differ AS (SELECT * FROM made WHERE new_pos <> pos OR new_cigar <> cigar
+), alts AS (
+  SELECT qname || '|old' AS qname, tid, pos, 0 AS mapq, cigar, seq FROM differ UNION ALL SELECT qname || '|new', tid, new_pos, 0, new_cigar, seq FROM differ
+), {ops}, {distance}, accepted AS (
+  SELECT d.qname, d.tid, d.pos, d.cigar, new_pos, new_cigar FROM differ d
+  JOIN alt_dist a ON a.qname = d.qname || '|old' AND a.tid = d.tid JOIN alt_dist b ON b.qname = d.qname || '|new' AND b.tid = d.tid
+  WHERE NOT (b.mismatches > a.mismatches AND b.mismatches - a.mismatches >= b.covered - a.covered)
+)
+SELECT split_part(r.qname, '|', 1) AS qname, r.flag, r.tid, coalesce(new_pos, r.pos) AS pos, coalesce(new_cigar, r.cigar) AS cigar,
+       CASE WHEN new_pos <> r.pos THEN r.pos + 1 END AS op, CASE WHEN new_cigar <> r.cigar THEN r.cigar END AS oc
+FROM reads r LEFT JOIN accepted a ON a.qname = r.qname AND a.tid = r.tid AND a.pos = r.pos AND a.cigar = r.cigar"""

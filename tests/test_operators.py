@@ -263,6 +263,11 @@ def test_bam_records_come_back_whole(spark, tmp_path):
     assert plain(bam.read(spark, str(tmp_path / "out"))) == plain(reads)
     bam.merged(str(tmp_path / "out"), str(tmp_path / "one.bam"), index=True)
     assert plain(bam.read(spark, str(tmp_path / "one.bam"))) == plain(reads)
+    with bgzf.opened(str(tmp_path / "one.bam")) as f:
+        data, order = bgzf.Bytes(f, *bam.read_header(str(tmp_path / "one.bam"))[2]), []
+        while data.has(4):
+            order.append(bam.decoded(data.take(int.from_bytes(data.take(4), "little")))[0])
+    assert order == ["r1", "r1", "r2", "r4", "r3"]
     bam.write(reads.limit(0), str(tmp_path / "none"), HEADER)
     assert bam.read(spark, str(tmp_path / "none")).collect() == []
 
