@@ -19,8 +19,8 @@ _CODES = np.full(256, 3, np.uint8)
 _CODES[list(b"ACGT")] = [0, 1, 1, 2]
 _OPS = re.compile(r"(\d+)([MIDNSHP=XB])")
 QUERY, REFERENCE = set("MIS=X"), set("MDN=X")
-#: Cells of the matrices that are filled at once.
-CELLS = 1 << 24
+#: Cells of the matrices that are filled at once; three bits are kept of each.
+CELLS = 1 << 25
 
 
 def codes(text: str) -> np.ndarray:
@@ -72,7 +72,7 @@ def gapped(paths: list[np.ndarray], references: list[np.ndarray], k: int) -> lis
     out: list[str | None] = [f"{len(p)}M" if len(p) == len(r) and (p == r).all() else None for p, r in zip(paths, references)]
     rest = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(paths[i]))
     while rest:
-        cells = (len(paths[rest[-1]]) + 2) * (len(paths[rest[-1]]) + max(len(references[i]) for i in rest) + 4)
+        cells = (len(paths[rest[-1]]) + 2) * (max(len(references[i]) for i in rest) + 2)
         part, rest = rest[-max(1, CELLS // cells) :], rest[: -max(1, CELLS // cells)]
         for i, steps in zip(part, _aligned([paths[i][k - 1 : len(paths[i]) - k + 1] for i in part], [references[i][k - 1 : len(references[i]) - k + 1] for i in part])):
             # The middle begins one letter before the k that both share, so that is a match of k - 1 more on either side.
@@ -88,37 +88,36 @@ def _aligned(paths: list[np.ndarray], references: list[np.ndarray]) -> list[str]
     own, other = np.full((n, high), 3, np.uint8), np.full((n, wide), 3, np.uint8)
     for i, (p, r) in enumerate(zip(paths, references)):
         own[i, : len(p)], other[i, : len(r)] = p, r
-    # A cell is (diagonal, pair, row): the best score, and whether each move is among the best ways into it.
-    shape = (high + wide + 1, n, high + 1)
-    match, insertion, deletion = (np.zeros(shape, bool) for _ in range(3))
     score = [np.zeros((n, high + 1), np.int32) for _ in range(3)]
+    # For the last diagonal whether a gap is among the best ways into a row's cell, and for all diagonals the masks of the three moves.
+    inserted, deleted = np.zeros((n, high + 1), bool), np.zeros((n, high + 1), bool)
+    kept: list[tuple[int, tuple]] = [(0, ())]
     for d in range(1, high + wide + 1):
         now, before, two = score[d % 3], score[(d - 1) % 3], score[(d - 2) % 3]
         low, top = max(1, d - wide), min(high, d - 1)
-        if d <= wide:  # the upper rim: a gap in the path
-            now[:, 0] = -OPEN - EXTEND * d
-            deletion[d, :, 0] = True
-        if d <= high:  # the left rim: a gap in the reference
-            now[:, d] = -OPEN - EXTEND * d
-            insertion[d, :, d] = True
-        if low > top:
-            continue
         i = np.arange(low, top + 1)
         into_match = two[:, i - 1] - PENALTY[own[:, i - 1], other[:, d - i - 1]]
-        into_insertion = before[:, i - 1] - EXTEND - OPEN * ~insertion[d - 1][:, i - 1]
-        into_deletion = before[:, i] - EXTEND - OPEN * ~deletion[d - 1][:, i]
+        into_insertion = before[:, i - 1] - EXTEND - OPEN * ~inserted[:, i - 1]
+        into_deletion = before[:, i] - EXTEND - OPEN * ~deleted[:, i]
         best = np.maximum(into_match, np.maximum(into_insertion, into_deletion))
-        now[:, i] = best
-        match[d][:, i], insertion[d][:, i], deletion[d][:, i] = into_match == best, into_insertion == best, into_deletion == best
-    ways = (("M", match, 1, 1), ("I", insertion, 1, 0), ("D", deletion, 0, 1))
+        masks = into_match == best, into_insertion == best, into_deletion == best
+        kept.append((low, tuple(np.packbits(m, 1) for m in masks)))
+        now[:, i], inserted[:, i], deleted[:, i] = best, masks[1], masks[2]
+        if d <= wide:  # the upper rim: a gap in the path
+            now[:, 0], deleted[:, 0], inserted[:, 0] = -OPEN - EXTEND * d, True, False
+        if d <= high:  # the left rim: a gap in the reference
+            now[:, d], inserted[:, d], deleted[:, d] = -OPEN - EXTEND * d, True, False
+    letters, moves = "MID", ((1, 1), (1, 0), (0, 1))
     out = []
     for pair in range(n):
-        i, j, steps, last = int(rows[pair]), int(columns[pair]), [], ways[0]
+        i, j, steps, last = int(rows[pair]), int(columns[pair]), [], 0
         while i and j:
-            if not last[1][i + j, pair, i]:
-                last = next(w for w in ways if w[1][i + j, pair, i])
-            steps.append(last[0])
-            i, j = i - last[2], j - last[3]
+            low, masks = kept[i + j]
+            byte, bit = divmod(i - low, 8)
+            open_ways = [bool(m[pair, byte] << bit & 128) for m in masks]
+            last = last if open_ways[last] else open_ways.index(True)
+            steps.append(letters[last])
+            i, j = i - moves[last][0], j - moves[last][1]
         out.append("D" * j + "I" * i + "".join(reversed(steps)))
     return out
 
