@@ -135,8 +135,8 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _RUNS = re.compile(r"([a-z]+)|([A-Z]+)|([0-9]+)|([^\x00-\x7f]+)")
 #: Types of words that a worker remembers; another text's words take their places when they are full.
 MOST_TYPES = 1 << 16
-#: Words, padding included, of a batch that is decoded at once.
-PADDED = 1 << 16
+#: Words, padding included, of a batch that is decoded at once: a step has a score for each pair of labels and each chain.
+PADDED = 1 << 13
 _INVALID = -1e4
 
 
@@ -399,7 +399,7 @@ def find(docs: DataFrame, column: str = "text", labelled: tuple[str, ...] | None
     shared = docs.sparkSession.sparkContext.broadcast(trained(labelled) if labelled is not None else trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.pieces(batches, 4096, 4 << 20):
+        for batch in _common.pieces(batches, 2048, 1 << 18):
             found = all_spans(batch.column("text").to_pylist(), shared.value)
             counts = [pa.array([sum(s[1] == k for s in base) for base, *_ in found], pa.int64()) for k in range(4)]
             digests = pa.array([sha256(written(base).encode()).hexdigest() for base, *_ in found], pa.string())
@@ -426,7 +426,7 @@ def masked(docs: DataFrame, labelled: tuple[str, ...] | None = None) -> DataFram
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.pieces(batches, 4096, 4 << 20):
+        for batch in _common.pieces(batches, 2048, 1 << 18):
             texts = batch.column("text").to_pylist()
             new = [mask(t, s) if s else t for t, (_, s, _) in zip(texts, all_spans(texts, shared.value))]
             columns = [pa.array(new, c.type) if name == "text" else c for name, c in zip(names, batch.columns)]

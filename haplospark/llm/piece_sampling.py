@@ -132,10 +132,11 @@ class Lattice:
         start = np.concatenate([a for a, _, _ in edges])
         piece = np.concatenate([i for _, i, _ in edges])
         end = start + np.repeat([k for _, _, k in edges], [len(a) for a, _, _ in edges])
-        place, many, weight = piece.copy(), np.ones(len(piece), np.int64), self.weights[piece]
+        place, many, weight = piece.astype(np.int32), np.ones(len(piece), np.int32), self.weights[piece]
         # Characters without a piece of their own: an edge with their bytes' ids, which stand behind the vocabulary's.
         lone = np.ones(len(codes), bool)
         lone[edges[0][0]] = False
+        del edges, at, h, piece
         extra = np.flatnonzero(lone)
         kinds, kind = np.unique(codes[extra], return_inverse=True)
         text = [chr(c).replace(_ESCAPED, MARK).encode("utf-8", "surrogatepass") for c in kinds.tolist()]
@@ -143,14 +144,21 @@ class Lattice:
         sizes = each[kind]
         emitted = np.concatenate([np.arange(len(self.weights)), self.byte_ids[np.frombuffer(b"".join(text), np.uint8)]])
         start, end = np.concatenate([start, extra]), np.concatenate([end, extra + 1])
-        place, many = np.concatenate([place, (len(self.weights) + np.cumsum(each) - each)[kind]]), np.concatenate([many, sizes])
+        place, many = np.concatenate([place, (len(self.weights) + np.cumsum(each) - each)[kind].astype(np.int32)]), np.concatenate([many, sizes.astype(np.int32)])
         weight = np.concatenate([weight, sizes * self.byte_weight])
         # From characters to nodes: a unit has one node more than characters.
         shift = own[start]
         depth = end - before[shift]
         # An edge is known by its end and its length, which is below 64; edges too deep for one number are sorted by three.
         order = np.argsort((depth << 40) + (end + shift << 6) + end - start) if depth.max(initial=0) < deepest and len(codes) < 1 << 33 else np.lexsort((end - start, end, depth))
-        start, end, depth, place, many, weight = (x[order] for x in (start + shift, end + shift, depth, place, many, weight))
+        start, end = (start + shift)[order], (end + shift)[order]
+        del shift
+        # One after another, so that no more than one of them is there twice.
+        depth = depth[order]
+        place = place[order]
+        many = many[order]
+        weight = weight[order]
+        del order
         total = np.zeros(len(codes) + len(units))
         share = np.empty(len(start), np.int64)
         steps = np.searchsorted(depth, np.arange(1, (depth[-1] if len(depth) else 0) + 2))
@@ -291,7 +299,7 @@ def with_pieces(docs: DataFrame, path: str, seed: int = 0, sharpness: float = 1.
     names = [_common.free_name(x, docs.columns) for x in ("pieces", "lossless")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.pieces(batches, 2048, 1 << 20):
+        for batch in _common.pieces(batches, 2048, 1 << 19):
             texts = batch.column("text").to_pylist()
             ids, counts, good = sample(batch.column("doc_id").to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids, counts, texts), pa.array(good)], [*batch.schema.names, *names])
