@@ -17,11 +17,13 @@ from array import array
 
 import numpy as np
 
-#: Entries of one of the two generations of the cache: about 60 MB for each Python worker.
-CACHE_UNITS = 300_000
+#: Entries of one of the two generations of the cache: about 100 MB for each Python worker.
+CACHE_UNITS = 500_000
 _UNITS = re.compile(r"\s*\S+|\s+")
 #: A word of Latin letters and then punctuation: the splitting pattern makes one unit of either.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,./:;=?@|_-]*)")
+#: The first character beyond the letters that are looked at one by one, the letter that stands for a space, and marks that often follow a word.
+_LATIN, _SPACE, _MARKS = "\u0250", "\u0120", frozenset(",.;:!?")
 _BYTE_PATTERN = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
 
 
@@ -64,7 +66,11 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.first = _Cache(self._bare)
         self.model = self.library.model if self.library.normalizer is None and str(self.library.pre_tokenizer) == _BYTE_PATTERN else None
-        self.letters = str.maketrans({chr(b): x for b, x in enumerate(_byte_letters())})
+        #: Each id as it is stored.
+        self.packs = [i.to_bytes(self.dtype.itemsize, "little") for i in range(max(self.library.get_vocab().values()) + 1)]
+        letters = _byte_letters()
+        # What stands for the bytes of a character below U+0250, as all are that _PLAIN takes.
+        self.direct = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)}
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         # Keys are what follows a space; a unit that ends in white space isn't stable, so it has no ids here.
         self.spaced = _Cache(self._after_space)
@@ -74,9 +80,17 @@ class UnitEncoder:
 
     def _word(self, word: str) -> bytes:
         """The model's ids of one unit of the splitting pattern."""
-        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return b"".join([self.packs[t.id] for t in self.model.tokenize(word.translate(self.direct))])
 
     def _after_space(self, unit: str) -> bytes | None:
+        # Letters are one unit of the splitting pattern with the space before them, and a mark behind them is one by itself.
+        if self.model and unit:
+            if (plain := unit.isascii()) or max(unit) < _LATIN:
+                if unit.isalpha():
+                    tokens = self.model.tokenize(_SPACE + (unit if plain else unit.translate(self.direct)))
+                    return b"".join([self.packs[t.id] for t in tokens])
+                if unit[-1] in _MARKS and unit[:-1].isalpha():
+                    return self.spaced[unit[:-1]] + self.first[unit[-1]]
         if not unit or unit[-1].isspace():
             return None
         if self.model:
@@ -99,6 +113,14 @@ class UnitEncoder:
 
     def packed(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian integers of ``dtype``."""
+        if self.model and "\n" in text:
+            # A line's end between two characters that aren't white space is a unit by itself.
+            lines = text.split("\n")
+            if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
+                return self.first["\n"].join(map(self._line, lines))
+        return self._line(text)
+
+    def _line(self, text: str) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ")

@@ -26,6 +26,7 @@ empty table gives an empty store.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -73,10 +74,10 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
 
 
-def cuts(candidates: np.ndarray, n: int, least: int, most: int) -> list[int]:
+def cuts(candidates: list[int], n: int, least: int, most: int) -> list[int]:
     """Ends of the chunks of a stream of *n* ids; *candidates*: ascending ends that the hash offers."""
     ends, at = [], 0
-    for c in candidates.tolist():
+    for c in candidates:
         while c - at > most:
             at += most
             ends.append(at)
@@ -102,21 +103,23 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mea
             rows: list[tuple] = []
             coded = [units.packed(t or "") + end for t in batch.column("text").to_pylist()]
             offered = np.flatnonzero((rolling(np.frombuffer(b"".join(coded), units.dtype)) & np.uint64(mean - 1)) == 0) + 1
-            at = 0
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded):
+            stops = np.cumsum([len(data) // width for data in coded])
+            bounds, offered = np.searchsorted(offered, stops, "right").tolist(), offered.tolist()
+            at = lo = 0
+            for doc_id, data, hi in zip(batch.column("doc_id").to_pylist(), coded, bounds):
                 n = len(data) // width
-                lo, hi = np.searchsorted(offered, (at, at + n), "right")
-                ends = cuts(offered[lo:hi] - at, n, least, most)
-                at += n
-                begun, addresses = 0, []
+                ends = cuts([c - at for c in offered[lo:hi]], n, least, most)
+                at, lo = at + n, hi
+                begun, addresses, sizes = 0, [], array("I")
                 for e in ends:
                     chunk = data[begun * width : e * width]
                     addresses.append(key := digest(chunk))
+                    sizes.append(e - begun)
                     if key not in seen:
                         seen.add(key)
                         rows.append(("c", key, None, e - begun, chunk, None, None))
                     begun = e
-                rows.append(("r", digest(str(doc_id).encode()), doc_id, n, None, b"".join(addresses), np.diff(ends, prepend=0).astype("<u4").tobytes()))
+                rows.append(("r", digest(str(doc_id).encode()), doc_id, n, None, b"".join(addresses), np.asarray(sizes, "<u4").tobytes()))
             if len(seen) > 1 << 18:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names)

@@ -149,7 +149,7 @@ def test_rolling_cuts_follow_content():
     for n in (0, 137):
         ids = np.concatenate([r.randint(0, 50000, n).astype("<u2"), shared])
         offered = np.flatnonzero((token_store.rolling(ids) & np.uint64(63)) == 0) + 1
-        cut = token_store.cuts(offered, len(ids), 8, 1024)
+        cut = token_store.cuts(offered.tolist(), len(ids), 8, 1024)
         assert cut[-1] == len(ids) and all(8 <= b - a <= 1024 for a, b in zip([0, *cut], cut[:-1]))
         ends.append({e - n for e in cut})
     assert len(ends[0] & ends[1]) > 0.8 * len(ends[0])
