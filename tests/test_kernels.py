@@ -34,6 +34,11 @@ def test_ungapped(read, likely, hit):
     assert [int(x[0]) for x in al.ungapped(al.codes("ATGATTGCATAAGGGGTATTGGATAGTTA"), [al.codes(read)], 5, [likely])] == [*hit]
 
 
+def test_ungapped_without_reads():
+    """A region may have no reads of a conversion."""
+    assert [x.tolist() for x in al.ungapped(al.codes("ATGATTGCAT"), [], 2, [])] == [[], []]
+
+
 def test_ungapped_does_not_fit():
     assert al.ungapped(al.codes("ATGAT"), [al.codes("ATGATT")], 2, [0])[0].tolist() == [-1]
 
