@@ -28,14 +28,14 @@ def _bin(at: Column) -> Column:
     return (F.greatest(at, F.lit(0)) / BIN).cast("int")
 
 
-def overlapping(reads: DataFrame, regions: DataFrame) -> DataFrame:
+def overlapping(reads: DataFrame, regions: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """A row for each read and each region of its contig with span_start <= roi_end and span_end >= roi_start.
 
     Both sides are dealt to bins of BIN bases, so it is an equi-join; a pair that shares several bins
     is kept in the first only, which needs no distinct.  A hot contig is as many keys as it has bins.  Reads come with the columns of
-    spans; those of the same names that they had are replaced.
+    spans; those of the same names that they had are replaced. more: further columns of the regions.
     """
-    roi = regions.selectExpr("tid", "start as roi_start", "end as roi_end")
+    roi = regions.selectExpr("tid", "start as roi_start", "end as roi_end", *more)
     left = spans(reads).withColumn("bin", F.explode(_bins(F.col("span_start"), F.col("span_end"))))
     right = roi.withColumn("bin", F.explode(_bins(F.col("roi_start"), F.col("roi_end"))))
     first = F.greatest(_bin(F.col("span_start")), _bin(F.col("roi_start")))
@@ -76,7 +76,8 @@ def fetched(rows: DataFrame, contigs: DataFrame, start: str, end: str, name: str
     A join by contig and tile.  The few places that reach beyond a tile and what it has of the next
     are put together from several, once for each.
     """
-    tiled = tiles(contigs)
+    # By a shuffle: Spark's estimate knows the files of contigs, not the length of a text, and a broadcast would take all of them through the driver.
+    tiled = tiles(contigs).hint("shuffle_hash")
     tile, n = F.floor(F.col(start) / TILE).cast("int"), F.greatest(F.col(end) - F.col(start), F.lit(0))
     placed = rows.withColumns({"tile": tile, "far": F.col(end) > (tile + 1) * TILE + BEYOND})
     near = placed.where(~F.col("far")).join(tiled, ["tid", "tile"]).withColumn(name, F.substring("text", F.col(start) - F.col("tile") * TILE + 1, n))

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from haplospark import storage
 from haplospark.functions import bisulfite, cigar
-from haplospark.operators import alignment, haplotypes, kmers, overlap
+from haplospark.operators import alignment, assembly, haplotypes, kmers, overlap
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,14 @@ def haplotype_paths(found: DataFrame, windows: DataFrame, indels: DataFrame, set
     return found.groupBy(*_REGION).cogroup(info.groupBy(*_REGION)).applyInArrow(walk, schema)
 
 
+def assembled(pairs: DataFrame, windows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """haplotype_paths of regions by their windows and the pairs of gated reads and regions; k-mers are shuffled in packed form only."""
+    k = settings.size
+    if k <= assembly.LONGEST_K and not settings.no_cycles and not settings.stop_at_short:
+        return assembly.haplotypes(pairs, windows, settings)
+    return haplotype_paths(assembly.sufficient(pairs, windows, k), windows, kmers.most_indel(assembly.patches(pairs, k)), settings)
+
+
 def read_scores(reads: DataFrame, paths: DataFrame, k: int) -> DataFrame:
     """tid, roi_start, roi_end, conversion, qname, path_id, score, offset: each read's best place in each path of its conversion.
 
@@ -374,3 +382,9 @@ def bounded_pairs(reads: DataFrame, regions: DataFrame, contigs: DataFrame, sett
     k = settings.size
     pairs = overlap.overlapping(overlap.spans(reads.where(F.col("mapq") >= settings.min_mapq)), regions)
     return kmers.bounds(pairs.join(overlap.windows(regions, contigs, k), _REGION))
+
+
+def windowed_pairs(reads: DataFrame, windows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Pairs of gated reads and regions, of which the windows are there already: these go with the regions through the join by overlap."""
+    regions = windows.withColumnsRenamed({"roi_start": "start", "roi_end": "end"})
+    return overlap.overlapping(reads.where(F.col("mapq") >= settings.min_mapq), regions, ("lo", "hi", "ref_start", "ref"))

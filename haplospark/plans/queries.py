@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haplospark import storage
 from haplospark.functions import bisulfite, cigar
-from haplospark.operators import alignment, kmers, overlap, realign, targets
+from haplospark.operators import alignment, assembly, kmers, overlap, realign, targets
 from haplospark.plans import reference_sql as sql
 from haplospark.plans.fixtures import contigs, reads
 
@@ -140,15 +141,22 @@ def sketch_layout(spark, sf_dir):
     return roi.select("tid", "start", *(c.alias(n) for n, c in kmers.sketch_layout(F.col("end") - F.col("start"), K).items()))
 
 
+def _windows(spark, sf_dir, k):
+    """The windows of the regions, written once: all that follows joins them, and finding them reads all reads."""
+    return storage.stored(overlap.windows(_regions(spark, sf_dir), contigs(spark, sf_dir), k), "windows")
+
+
+def _pairs(spark, sf_dir, settings, windows):
+    return realign.windowed_pairs(reads(spark, sf_dir), windows, settings)
+
+
 def _sufficient(spark, sf_dir, settings):
-    k = settings.size
-    patches = kmers.patched(_bounded(spark, sf_dir, settings), k)
-    window = overlap.windows(_regions(spark, sf_dir), contigs(spark, sf_dir), k)
-    return kmers.sufficient(kmers.read_kmers(patches, k), kmers.reference_kmers(window, k)), window, kmers.most_indel(patches)
+    windows = _windows(spark, sf_dir, settings.size)
+    return assembly.sufficient(_pairs(spark, sf_dir, settings, windows), windows, settings.size)
 
 
 def kmer_sufficient(spark, sf_dir):
-    return _sufficient(spark, sf_dir, SETTINGS)[0]
+    return _sufficient(spark, sf_dir, SETTINGS)
 
 
 def max_indel(spark, sf_dir):
@@ -156,11 +164,12 @@ def max_indel(spark, sf_dir):
 
 
 def kmer_edges(spark, sf_dir):
-    return kmers.edges(_sufficient(spark, sf_dir, SETTINGS)[0])
+    return kmers.edges(_sufficient(spark, sf_dir, SETTINGS))
 
 
-def _paths(spark, sf_dir, settings):
-    return realign.haplotype_paths(*_sufficient(spark, sf_dir, settings), settings)
+def _paths(spark, sf_dir, settings, windows=None):
+    windows = _windows(spark, sf_dir, settings.size) if windows is None else windows
+    return realign.assembled(_pairs(spark, sf_dir, settings, windows), windows, settings)
 
 
 def haplotype_paths(spark, sf_dir):
@@ -177,9 +186,10 @@ def ref_path_union(spark, sf_dir):
 
 def breadth_cap(spark, sf_dir):
     """Regions by their paths without the reference's, and whether that is above a bound of one."""
-    ref = overlap.windows(_regions(spark, sf_dir), contigs(spark, sf_dir), SMALL).select("tid", "roi_start", "ref", F.explode(F.array(F.lit("CT"), F.lit("GA"))).alias("conversion"))
+    windows = _windows(spark, sf_dir, SMALL)
+    ref = windows.select("tid", "roi_start", "ref", F.explode(F.array(F.lit("CT"), F.lit("GA"))).alias("conversion"))
     ref = ref.select("tid", "roi_start", "conversion", bisulfite.converted(F.col("ref"), F.col("conversion")).alias("path"))
-    other = _paths(spark, sf_dir, SMALL_K).join(ref, ["tid", "roi_start", "conversion", "path"], "left_anti")
+    other = _paths(spark, sf_dir, SMALL_K, windows).join(ref, ["tid", "roi_start", "conversion", "path"], "left_anti")
     return other.groupBy("tid", "roi_start", "conversion").agg(F.count("*").alias("n_other")).withColumn("skipped", F.col("n_other") > 1)
 
 
@@ -194,20 +204,24 @@ def noncycle_paths(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return realign.read_scores(realign.pieces(_bounded(spark, sf_dir, SMALL_K), SMALL), _paths(spark, sf_dir, SMALL_K), SMALL)
+    """Scores and the paths that they are of, both written once."""
+    windows = _windows(spark, sf_dir, SMALL)
+    paths = storage.stored(_paths(spark, sf_dir, SMALL_K, windows), "paths")
+    read = realign.pieces(kmers.bounds(_pairs(spark, sf_dir, SMALL_K, windows)), SMALL)
+    return storage.stored(realign.read_scores(read, paths, SMALL), "scores"), paths
 
 
 def ungapped_best(spark, sf_dir):
-    return _scores(spark, sf_dir).groupBy("tid", "roi_start", "conversion", "qname").agg(F.min("score").alias("score"), F.count("*").alias("n_paths"), F.sum(F.col("score").cast("long") * 1000 + F.col("offset")).alias("digest"))
+    return _scores(spark, sf_dir)[0].groupBy("tid", "roi_start", "conversion", "qname").agg(F.min("score").alias("score"), F.count("*").alias("n_paths"), F.sum(F.col("score").cast("long") * 1000 + F.col("offset")).alias("digest"))
 
 
 def path_votes(spark, sf_dir):
-    return realign.votes(_scores(spark, sf_dir)).groupBy("tid", "roi_start", "conversion").agg(F.sum("n").alias("votes"), F.max("n").alias("most"))
+    return realign.votes(_scores(spark, sf_dir)[0]).groupBy("tid", "roi_start", "conversion").agg(F.sum("n").alias("votes"), F.max("n").alias("most"))
 
 
 def path_assign(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
-    paths = _paths(spark, sf_dir, SMALL_K).select("tid", "roi_start", "conversion", "path_id", "path")
+    scores, paths = _scores(spark, sf_dir)
+    paths = paths.select("tid", "roi_start", "conversion", "path_id", "path")
     picked = realign.assigned(scores, realign.votes(scores)).join(paths, ["tid", "roi_start", "conversion", "path_id"])
     return picked.select("tid", "roi_start", "conversion", "qname", "score", "offset", "path")
 
@@ -248,8 +262,8 @@ def gapped_cigar(spark, sf_dir):
             pairs = b.column("path").to_pylist(), b.column("reference").to_pylist()
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(alignment.gapped(*([alignment.codes(x) for x in column] for column in pairs), SMALL), pa.string())], [*b.schema.names[:4], "cigar"])
 
-    ref = overlap.windows(_regions(spark, sf_dir), contigs(spark, sf_dir), SMALL)
-    rows = _paths(spark, sf_dir, SMALL_K).join(ref.select("tid", "roi_start", "ref"), ["tid", "roi_start"])
+    ref = _windows(spark, sf_dir, SMALL)
+    rows = _paths(spark, sf_dir, SMALL_K, ref).join(ref.select("tid", "roi_start", "ref"), ["tid", "roi_start"])
     rows = rows.select("tid", "roi_start", "conversion", "path_id", "path", bisulfite.converted(F.col("ref"), F.col("conversion")).alias("reference"))
     return rows.mapInArrow(run, "tid int, roi_start int, conversion string, path_id int, cigar string")
 

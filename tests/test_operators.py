@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haplospark.functions import bisulfite, cigar, udtf
-from haplospark.operators import alignment, kmers, overlap, realign, targets
+from haplospark.operators import alignment, assembly, kmers, overlap, realign, targets
 from haplospark.sources import bam, bed, bgzf, fasta, sam
 
 EVENTS = "tid int, start int, end int"
@@ -133,6 +133,45 @@ def test_kmers(spark):
     assert tuple(spark.range(1).select(*layout.values()).first()) == (515, 4888, 8192)
 
 
+def regions_with_reads(spark, seed):
+    """Pairs of reads and regions on repetitive contigs, so that walks branch, end and close; one read without bases, a contig that ends in a window."""
+    r = random.Random(seed)
+    contigs = [(t, "".join(r.choice("ACGTTN" if t % 3 else "AT") for _ in range(150 - 40 * (t == 4)))) for t in range(12)]
+    regions = spark.createDataFrame([(t, 60, 64 + t) for t in range(12)] + [(4, 100, 103), (5, 1, 4)], EVENTS)
+    reads = []
+    for t, text in contigs:
+        for i in range(60):
+            pos, shape = r.randrange(30, 60), r.choice(["40M", "20M3I17M", "20M2D20M", "3S37M", "40M5H", "*"])
+            seq = (text[pos : pos + 20] + r.choice(["GGG", "TTA"]) + text[pos + 20 : pos + 37]) if "I" in shape else text[pos : pos + 40]
+            seq = "".join(r.choice("ACGT") if r.random() < 0.01 else c for c in seq).lower() if i % 7 == 0 else seq
+            reads.append((f"{t}.{i}", r.choice([0, 16]), t, pos, 40, shape, seq if i else None, r.choice(["CT", "GA", None])))
+    reads = spark.createDataFrame(reads, "qname string, flag int, tid int, pos int, mapq int, cigar string, seq string, xg string")
+    return reads, regions, spark.createDataFrame(contigs, "tid int, seq string")
+
+
+@pytest.mark.parametrize("k, seed, breadth, letters", [(5, 1, 300, 3 << 20), (7, 2, 1, 500), (11, 3, 0, 3 << 20)])
+def test_packed_kmers_and_paths_against_those_of_texts(spark, monkeypatch, k, seed, breadth, letters):
+    monkeypatch.setattr(assembly, "MOST_LETTERS", letters)
+    monkeypatch.setattr(assembly, "MOST_BYTES", letters)
+    reads, regions, contigs = regions_with_reads(spark, seed)
+    settings = realign.Settings(k=k, breadth=breadth)
+    windows = overlap.windows(regions, contigs, k)
+    pairs = realign.windowed_pairs(reads, windows, settings)
+    patches = kmers.patched(realign.bounded_pairs(reads, regions, contigs, settings), k)
+    plain = kmers.sufficient(kmers.read_kmers(patches, k), kmers.reference_kmers(windows, k))
+    assert rows(assembly.sufficient(pairs, windows, k)) == rows(plain)
+    if breadth:  # without a bound there are too many
+        found = rows(realign.assembled(pairs, windows, settings))
+        assert found == rows(realign.haplotype_paths(plain, windows, kmers.most_indel(patches), settings)) and len(found) > 28
+
+
+def test_contigs_are_not_broadcast(spark):
+    """Spark's estimate of a contig is a few bytes, whatever its length; a broadcast takes all of them through the driver."""
+    reads, regions, contigs = regions_with_reads(spark, 1)
+    plan = overlap.windows(regions, contigs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_kmer_table_function(spark):
     udtf.register(spark)
     assert [tuple(r) for r in spark.sql("SELECT k.* FROM VALUES ('ABCD') t(s), LATERAL kmers(s, 3) k").collect()] == [(0, "ABC"), (1, "BCD")]
