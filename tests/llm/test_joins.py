@@ -123,6 +123,30 @@ def test_top_k(spark):
     assert top_k(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most, kind", [(200, 24), (3000, 53), (1 << 28, 63)])
+def test_scores_of_tiles_against_brute_force(monkeypatch, most, kind):
+    """Sums of 32-bit and 64-bit floats and of longs; queries among the vectors, repeated ids, ties, and scores of earlier chunks."""
+    from haplospark.llm import topk_search as ts
+
+    monkeypatch.setattr(ts, "TILE", 7)
+    monkeypatch.setattr(ts, "STEP", 2)
+    monkeypatch.setattr(ts, "BLOCK", 9)
+    r = np.random.RandomState(3)
+    v = r.randint(-most, most + 1, (300, 40))
+    v[100:140] = v[60]
+    ids = np.sort(r.choice(280, 300))
+    asked = np.append(np.arange(0, 300, 11), [61, 101])
+    scores = v[asked] @ v.T
+    assert 2**kind > np.abs(scores).max() and (kind == 24 or np.abs(scores).max() > 2**24)
+    kth = np.where(np.arange(len(asked)) % 3 == 0, np.sort(scores, 1)[:, -4], ts.NEVER)
+    got = [(int(q), int(i), int(s)) for q, i, s in zip(*ts.Blocks(ids, v).search(ids[asked], v[asked], kth, 5))]
+    want = []
+    for q, row in enumerate(scores):
+        own = sorted((-int(s), int(i)) for s, i in zip(row, ids) if i != ids[asked[q]])[:5]
+        want += [(q, i, -s) for s, i in own if -s >= kth[q]]
+    assert sorted(got) == sorted(want)
+
+
 def test_top_k_of_tables(spark):
     duck = duckdb.connect()
     duck.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
