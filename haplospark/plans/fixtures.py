@@ -24,7 +24,9 @@ def reads(spark: SparkSession, sf_dir: str, spacing: int = 128) -> DataFrame:
         f"cast(100 + {spacing} * (l_partkey % 14) as int) site", "cast(l_partkey % 3 as int) kind", "cast(10 + l_orderkey % 41 as int) o",
         "cast(l_quantity as int) mapq", "if(l_returnflag = 'R', 'GA', 'CT') xg", "l_linenumber > 4 plain",
     )
-    placed = items.withColumn("pos", F.expr("site - o")).join(contigs(spark, sf_dir).select("tid", F.col("seq").alias("contig")), "tid")
+    # By a shuffle: Spark takes a contig for a few bytes and would send all of them to the driver and to every executor.
+    whole = contigs(spark, sf_dir).select("tid", F.col("seq").alias("contig")).hint("shuffle_hash")
+    placed = items.withColumn("pos", F.expr("site - o")).join(whole, "tid")
     shape = "case when plain then '60M' when kind = 0 then concat(o, 'M4I', 56 - o, 'M') when kind = 1 then concat(o, 'M3D', 60 - o, 'M') else concat(o, 'M', 60 - o, 'S') end"
     bases = """case when plain then substring(contig, pos + 1, 60)
         when kind = 1 then concat(substring(contig, pos + 1, o), substring(contig, site + 4, 60 - o))
