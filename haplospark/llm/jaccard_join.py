@@ -72,11 +72,19 @@ def allowed(n: np.ndarray) -> np.ndarray:
     return n - -(-LEAST * n // 100)
 
 
+def _sorted(values: np.ndarray, marks: np.ndarray, value_bits: int, mark_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """values and their marks in order of both; where they fit 64 bits together, numbers are sorted in place of places."""
+    if value_bits + mark_bits <= 64:
+        both = values << np.uint64(mark_bits) | marks.astype(np.uint64)
+        both.sort()
+        return both >> np.uint64(mark_bits), both & np.uint64((1 << mark_bits) - 1)
+    order = np.lexsort((marks, values))
+    return values[order], marks[order]
+
+
 def _packed(tokens: np.ndarray, idx: np.ndarray, range_bits: int, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Range, width, tokens and documents of the distinct shingles of a block: 8 bytes of the first, differences of the others."""
-    short = tokens >> np.uint64(64 - bits)
-    order = np.argsort(short)
-    short, idx = short[order], idx[order]
+    short, idx = _sorted(tokens >> np.uint64(64 - bits), idx, bits, 16)
     first = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.zeros(0, np.int64)
     idx = np.where(np.diff(first, append=len(short)) > 1, MANY, idx[first]).astype("<u2")
     short = short[first]
@@ -128,8 +136,9 @@ def _counted(rows: pa.Table):
     sizes = np.array([len(p) for p in parts])
     tokens = np.concatenate(parts)
     idx = np.frombuffer(b"".join(rows.column("idx").to_pylist()), "<u2")
-    order = np.argsort(tokens)
-    short = tokens[order]
+    low = tokens.min(initial=np.iinfo(np.uint64).max)
+    short, order = _sorted(tokens - low, np.arange(len(tokens)), int(tokens.max(initial=low) - low).bit_length(), len(tokens).bit_length())
+    order = order.astype(np.int64)
     first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
     return parts, sizes, idx, order, first
 

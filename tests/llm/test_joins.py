@@ -72,6 +72,17 @@ def test_components_against_brute_force(spark, monkeypatch, seed, matches, block
     assert sorted(map(tuple, jj.jaccard_components(df).collect())) == brute(docs)
 
 
+@pytest.mark.parametrize("bits", [20, 48, 60, 64])
+def test_sorted_values_keep_their_marks(bits):
+    """Together in one number or not."""
+    r = np.random.RandomState(bits)
+    values = r.randint(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(4) >> np.uint64(64 - bits)
+    values[::3] = values[0]
+    marks = r.randint(0, 1 << 16, 5000)
+    got = jj._sorted(values, marks, bits, 16)
+    assert [*zip(*(x.tolist() for x in got))] == sorted(zip(values.tolist(), marks.tolist()))
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert sorted(map(tuple, q.op6_jaccard_join(spark, SF).collect())) == brute([(r.doc_id, r.text) for r in docs.collect()])
