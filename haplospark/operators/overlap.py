@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +25,28 @@ def spans(reads: DataFrame) -> DataFrame:
     return reads.withColumns({"span_start": cigar.clipped_start(pos, text), "span_end": cigar.last_position(pos, text)})
 
 
+@lru_cache(1 << 16)
+def _extent(text: str | None) -> tuple[int, int]:
+    """Bases of a leading soft clip, as cigar.clipped_start counts them, and positions of the reference, 1 at least."""
+    clip = re.match("([0-9]+)S", text or "")
+    length = sum(int(n) for n, op in re.findall("([0-9]+)([MIDNSHP=XB])", text or "") if op in "MDN=X")
+    return int(clip[1]) if clip and len(clip[1]) <= 9 else 0, max(length, 1)
+
+
+def spans_by_shape(reads: DataFrame) -> DataFrame:
+    """spans, for many reads of few CIGARs: each CIGAR is taken apart once, in Arrow batches."""
+
+    @F.arrow_udf("struct<clip: int, length: int>")
+    def extent(column: pa.Array) -> pa.Array:
+        shapes = column.dictionary_encode("encode")
+        found = np.array([_extent(x) for x in shapes.dictionary.to_pylist()], np.int64).reshape(-1, 2)[np.asarray(shapes.indices)]
+        return pa.StructArray.from_arrays([pa.array(found[:, i], pa.int32()) for i in range(2)], ["clip", "length"])
+
+    with_extent = reads.withColumn("_extent", extent("cigar"))
+    start, end = F.greatest(F.lit(0), F.col("pos") - F.col("_extent.clip")), F.col("pos") + F.col("_extent.length") - 1
+    return with_extent.withColumns({"span_start": start, "span_end": end}).drop("_extent")
+
+
 def _bins(start: Column, end: Column) -> Column:
     return F.sequence(_bin(start), _bin(F.greatest(start, end)))
 
@@ -28,15 +56,15 @@ def _bin(at: Column) -> Column:
     return (F.greatest(at, F.lit(0)) / BIN).cast("int")
 
 
-def overlapping(reads: DataFrame, regions: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+def overlapping(reads: DataFrame, regions: DataFrame, more: tuple[str, ...] = (), spanned: Callable[[DataFrame], DataFrame] = spans) -> DataFrame:
     """A row for each read and each region of its contig with span_start <= roi_end and span_end >= roi_start.
 
     Both sides are dealt to bins of BIN bases, so it is an equi-join; a pair that shares several bins
     is kept in the first only, which needs no distinct.  A hot contig is as many keys as it has bins.  Reads come with the columns of
-    spans; those of the same names that they had are replaced. more: further columns of the regions.
+    spans; those of the same names that they had are replaced. more: further columns of the regions. spanned: spans or spans_by_shape.
     """
     roi = regions.selectExpr("tid", "start as roi_start", "end as roi_end", *more)
-    left = spans(reads).withColumn("bin", F.explode(_bins(F.col("span_start"), F.col("span_end"))))
+    left = spanned(reads).withColumn("bin", F.explode(_bins(F.col("span_start"), F.col("span_end"))))
     right = roi.withColumn("bin", F.explode(_bins(F.col("roi_start"), F.col("roi_end"))))
     first = F.greatest(_bin(F.col("span_start")), _bin(F.col("roi_start")))
     return left.join(right, ["tid", "bin"]).where((F.col("span_start") <= F.col("roi_end")) & (F.col("span_end") >= F.col("roi_start")) & (F.col("bin") == first)).drop("bin")
@@ -84,7 +112,8 @@ def fetched(rows: DataFrame, contigs: DataFrame, start: str, end: str, name: str
     place = ["tid", start, end]
     far = placed.where("far").select(*place).distinct()
     parts = far.withColumn("tile", F.explode(F.sequence(F.floor(F.col(start) / TILE).cast("int"), F.floor((F.col(end) - 1) / TILE).cast("int"))))
-    parts = parts.join(tiled.select("tid", "tile", F.substring("text", 1, TILE).alias("text")), ["tid", "tile"])
+    # Cut after the join, so that both joins take the same shuffle of tiles.
+    parts = parts.join(tiled, ["tid", "tile"]).withColumn("text", F.substring("text", 1, TILE))
     whole = parts.groupBy(*place).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "text"))), lambda t: t["text"]), "").alias("text"))
     whole = whole.withColumn(name, F.substring("text", F.col(start) % TILE + 1, n))
     names = [*rows.columns, name]

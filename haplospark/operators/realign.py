@@ -387,4 +387,4 @@ def bounded_pairs(reads: DataFrame, regions: DataFrame, contigs: DataFrame, sett
 def windowed_pairs(reads: DataFrame, windows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pairs of gated reads and regions, of which the windows are there already: these go with the regions through the join by overlap."""
     regions = windows.withColumnsRenamed({"roi_start": "start", "roi_end": "end"})
-    return overlap.overlapping(reads.where(F.col("mapq") >= settings.min_mapq), regions, ("lo", "hi", "ref_start", "ref"))
+    return overlap.overlapping(reads.where(F.col("mapq") >= settings.min_mapq), regions, ("lo", "hi", "ref_start", "ref"), overlap.spans_by_shape)

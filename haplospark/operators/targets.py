@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +22,46 @@ def indel_events(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
     return kept.select("qname", "tid", F.explode(cigar.indels(F.col("pos"), F.col("cigar"))).alias("e")).select("qname", "tid", "e.start", "e.end")
 
 
+@lru_cache(1 << 16)
+def _runs(text: str, pos: int) -> list[tuple[int, int]]:
+    """cigar.indels of one CIGAR."""
+    at, start, width, out = pos, -1, 0, []
+    for n, op in (*re.findall("([0-9]+)([MIDNSHP=XB])", text), (0, "")):
+        if op in ("I", "D"):
+            start, width = start if start >= 0 else at, max(width, int(n))
+        else:
+            if start >= 0:
+                out.append((start, start + width))
+            start, width = -1, 0
+        if op in ("M", "D", "N", "=", "X"):
+            at += int(n)
+    return out
+
+
+def summed_events(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
+    """tid, start, end, n: the events of indel_events and how many there are of each; a CIGAR is taken apart once, not once for each read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, shapes = np.asarray(batch.column("pos")).astype(np.int64), batch.column("cigar").dictionary_encode()
+            code, texts = np.asarray(shapes.indices), shapes.dictionary.to_pylist()
+            # Reads before the contig, if any, are taken one by one.
+            early = np.flatnonzero(pos < 0)
+            found = [_runs(x, 0) for x in texts] + [_runs(texts[code[i]], int(pos[i])) for i in early.tolist()]
+            code = code.astype(np.int64)
+            code[early], base = len(texts) + np.arange(len(early)), np.maximum(pos, 0)
+            many = np.array([len(x) for x in found], np.int64)
+            events = np.array([e for x in found for e in x], np.int64).reshape(-1, 2)
+            n = many[code]
+            row = np.repeat(np.arange(len(code)), n)
+            own = events[np.arange(len(row)) + np.repeat((np.cumsum(many) - many)[code] - (np.cumsum(n) - n), n)] + base[row][:, None]
+            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row)), *(pa.array(own[:, i].astype(np.int32)) for i in range(2))], ["tid", "start", "end"])
+
+    kept = reads.where(F.col("mapq") >= min_mapq).where(F.col("cigar").contains("I") | F.col("cigar").contains("D")).where("tid is not null and pos is not null").select("tid", F.col("pos").cast("int").alias("pos"), "cigar")
+    found = kept.mapInArrow(run, f"tid {reads.schema['tid'].dataType.simpleString()}, start int, end int")
+    return found.groupBy("tid", "start", "end").agg(F.count("*").alias("n"))
+
+
 def merged(events: DataFrame, gap: int = GAP) -> DataFrame:
     """tid, start, end, n: events of a contig whose gaps are *gap* at most become one region.
 
@@ -25,6 +69,11 @@ def merged(events: DataFrame, gap: int = GAP) -> DataFrame:
     distinct intervals: a hot site is one row, and the order of the window has no ties.
     """
     unit = events.groupBy("tid", "start", "end").agg(F.count("*").alias("n") if "n" not in events.columns else F.sum("n").alias("n"))
+    return merged_units(unit, gap)
+
+
+def merged_units(unit: DataFrame, gap: int = GAP) -> DataFrame:
+    """merged of events that are summed already: each interval of a contig is one row."""
     regions = islands(unit, gap)
     return regions.groupBy("tid", "island").agg(F.max("end").alias("end"), F.sum("n").alias("n")).select("tid", F.col("island").alias("start"), "end", "n")
 

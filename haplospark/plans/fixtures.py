@@ -12,8 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tid, name, seq: 2,048 bases for each supplier, from the digits of md5 sums."""
-    digits = "transform(sequence(0, 63), i -> translate(md5(concat(s_suppkey, ':', i)), '0123456789abcdef', 'ACGTACGTACGTACGT'))"
-    return table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as int) tid", "concat('c', s_suppkey) name", f"array_join({digits}, '') seq")
+    digits = "array_join(transform(sequence(0, 63), i -> md5(concat(s_suppkey, ':', i))), '')"
+    # Suppliers are one small file, of which one task would make all bases, while others wait.
+    dealt = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism)
+    return dealt.selectExpr("cast(s_suppkey as int) tid", "concat('c', s_suppkey) name", f"translate({digits}, '0123456789abcdef', 'ACGTACGTACGTACGT') seq")
 
 
 def reads(spark: SparkSession, sf_dir: str, spacing: int = 128) -> DataFrame:
@@ -25,10 +27,11 @@ def reads(spark: SparkSession, sf_dir: str, spacing: int = 128) -> DataFrame:
         "cast(l_quantity as int) mapq", "if(l_returnflag = 'R', 'GA', 'CT') xg", "l_linenumber > 4 plain",
     )
     # By a shuffle: Spark takes a contig for a few bytes and would send all of them to the driver and to every executor.
-    whole = contigs(spark, sf_dir).select("tid", F.col("seq").alias("contig")).hint("shuffle_hash")
+    # Bases are cut as bytes, whose places need no counting.
+    whole = contigs(spark, sf_dir).select("tid", F.col("seq").cast("binary").alias("contig")).hint("shuffle_hash")
     placed = items.withColumn("pos", F.expr("site - o")).join(whole, "tid")
     shape = "case when plain then '60M' when kind = 0 then concat(o, 'M4I', 56 - o, 'M') when kind = 1 then concat(o, 'M3D', 60 - o, 'M') else concat(o, 'M', 60 - o, 'S') end"
     bases = """case when plain then substring(contig, pos + 1, 60)
         when kind = 1 then concat(substring(contig, pos + 1, o), substring(contig, site + 4, 60 - o))
-        else concat(substring(contig, pos + 1, o), 'CGCG', substring(contig, site + 1, 56 - o)) end"""
-    return placed.selectExpr("qname", "flag", "tid", "pos", "mapq", f"{shape} cigar", f"{bases} seq", "cast(null as string) qual", "xg")
+        else concat(substring(contig, pos + 1, o), cast('CGCG' as binary), substring(contig, site + 1, 56 - o)) end"""
+    return placed.selectExpr("qname", "flag", "tid", "pos", "mapq", f"{shape} cigar", f"cast({bases} as string) seq", "cast(null as string) qual", "xg")

@@ -142,8 +142,12 @@ def sketch_layout(spark, sf_dir):
 
 
 def _windows(spark, sf_dir, k):
-    """The windows of the regions, written once: all that follows joins them, and finding them reads all reads."""
-    return storage.stored(overlap.windows(_regions(spark, sf_dir), contigs(spark, sf_dir), k), "windows")
+    """The windows of the regions, written once: all that follows joins them, and finding them reads all reads.
+
+    So are the events, summed: each step of merging them would read all reads again.
+    """
+    events = storage.stored(targets.summed_events(reads(spark, sf_dir)), "events")
+    return storage.stored(overlap.windows(targets.deep(targets.merged_units(events)), contigs(spark, sf_dir), k), "windows")
 
 
 def _pairs(spark, sf_dir, settings, windows):

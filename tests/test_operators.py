@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,42 @@ def test_packed_kmers_and_paths_against_those_of_texts(spark, monkeypatch, k, se
         assert found == rows(realign.haplotype_paths(plain, windows, kmers.most_indel(patches), settings)) and len(found) > 28
 
 
+def test_equal_patched_texts_are_taken_apart_once(monkeypatch):
+    """A deep region costs as many texts as differ, not as many as it has reads."""
+    ref = "".join(random.Random(4).choice("ACGT") for _ in range(104))
+    reads = [(0, 50, 54, 40, 25, 79, 25, i % 2, "40M", ref[40:80], ref) for i in range(600)] + [(0, 50, 54, 40, 25, 79, 25, 1, "40M", ref[40:70] + "N" + ref[71:80], ref)]
+    names = ("tid", "roi_start", "roi_end", "pos", "lo", "hi", "lead", "kind", "cigar", "seq", "ref")
+    table = pa.table({n: pa.array(x, pa.string() if isinstance(x[0], str) else pa.int32()) for n, x in zip(names, zip(*reads))})
+    seen, inner = [], assembly._codes
+    monkeypatch.setattr(assembly, "_codes", lambda letters, starts, *more: seen.append(len(starts)) or inner(letters, starts, *more))
+    counted = assembly._counted(table, 25).to_pylist()
+    assert seen == [3]
+    assert sum(np.frombuffer(r["counts"], "<u4").sum() for r in counted) == 601 * (104 - 25 + 1 - 2)
+    assert len(assembly._counted(table.slice(0, 0), 25)) == 0
+
+
+def test_events_and_spans_by_shape(spark):
+    """CIGARs taken apart once each give the events and spans of those that are taken apart for each read."""
+    r = random.Random(5)
+    shapes = ["60M", "10M4I46M", "10M3D50M", "5S10M2I3D40M", "3H4S50M2D", "2D50M", "3D2I9M", "4I", "*", "", "007S5M2P3I2D1N4=", "5M2B3I4X", None]
+    rows_ = [(f"q{i}", r.choice([0, 1, None]), r.choice([-3, -1, 0, 7, 40, 2000, None]), r.choice([3, 10, 40, None]), r.choice(shapes)) for i in range(700)]
+    reads = spark.createDataFrame(rows_, "qname string, tid int, pos int, mapq int, cigar string")
+    want = targets.indel_events(reads).where("tid is not null").groupBy("tid", "start", "end").count()
+    assert rows(targets.summed_events(reads)) == rows(want)
+    assert targets.summed_events(reads.where("tid > 5")).count() == 0
+    assert rows(overlap.spans_by_shape(reads)) == rows(overlap.spans(reads))
+
+
+def test_windows_take_reads_apart_once(spark, monkeypatch, tmp_path):
+    """Merging events reads those that were written, whatever its number of steps, not all reads again for each of them."""
+    from haplospark.plans import queries
+
+    plans = []
+    monkeypatch.setattr(queries.storage, "stored", lambda df, name, inner=queries.storage.stored: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or inner(df, name))
+    queries._windows(spark, "/root/testdata/sf0.001", 25)
+    assert sum("FileScan parquet [l_" in line for name, plan in plans for line in plan.split("\n")) == 1
+
+
 def test_contigs_are_not_broadcast(spark):
     """Spark's estimate of a contig is a few bytes, whatever its length; a broadcast takes all of them through the driver."""
     reads, regions, contigs = regions_with_reads(spark, 1)
